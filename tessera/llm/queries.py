@@ -5,21 +5,94 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import near_dup
+from tessera.llm import decontaminate, line_dedup, near_dup, tier_pack, token_pack
 from tessera.runtime import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of documents with benchmark items: 13-word windows, contaminated from one word in twenty."""
+    docs, items = (table(configure(spark), sf_dir, t) for t in ("documents", "benchmark"))
+    found = decontaminate.find_overlap(spark, docs.select("doc_id", "text"), items, 13, carry=["doc_id"])
+    names = F.concat_ws(",", F.array_sort(F.transform("_items", lambda x: x.cast("string"))))
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.col("_n_hit").alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(names.cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 def op5_lsh_forest_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents: 3-word shingles, similarity 0.85."""
     return near_dup.near_duplicates(configure(spark), table(spark, sf_dir, "documents"), 3, 85, 100)
 
 
+def op8_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines dropped: keys of 20 code points or more in 3 documents or more."""
+    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.dedup_lines(spark, docs, 20, 3)
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), digest)
+
+
+def op9_best_fit_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id matrix of all documents: rows of 4096 ids."""
+    return token_pack.pack_matrices(configure(spark), table(spark, sf_dir, "documents"))
+
+
+def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids, none padded."""
+    packed = tier_pack.pack_tiers(configure(spark), table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+QUERIES = (op3_prefix_filter_decontamination, op5_lsh_forest_near_dup, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_lsh_forest_near_dup,)}
+    return {f.__name__: f for f in QUERIES}
+
+
+#: ``n_dup`` etc. are counted as documents (rows), so the keys are made distinct within a row first.
+_OP8 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS nr FROM documents
+), keyed AS (
+  SELECT doc_id, nr, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), hot AS (
+  SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE h.owner IS NOT NULL AND h.owner <> k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE h.owner IS NULL OR h.owner = k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN hot h ON k.key = h.key GROUP BY k.doc_id
+"""
+
+_OP3 = r"""
+WITH ws AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), windows AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 13) AS n, list_slice(w, s, s + least(len(w), 13) - 1) AS win
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM ws WHERE kind = 'b' AND len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows
+), placed AS (
+  SELECT id AS doc_id, s, n, list_slice(w, s, s + n - 1) AS win
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM ws, sizes WHERE kind = 'd' AND len(w) >= n)
+), hits AS (SELECT p.doc_id, p.s, p.n, v.item_id FROM placed p JOIN windows v ON p.n = v.n AND p.win = v.win
+), words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hits) GROUP BY doc_id
+), items AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM ws LEFT JOIN words ON ws.id = words.doc_id LEFT JOIN items ON ws.id = items.doc_id WHERE kind = 'd'
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_prefix_filter_decontamination": _OP3, "op8_perfect_hash_line_dedup": _OP8}
