@@ -31,8 +31,6 @@ from tessera.runtime import materialise, ship
 SHINGLE = 3
 #: windows of a block; some 150 bytes each on the driver while the index is made
 BLOCK_WINDOWS = 1 << 18
-#: bits of the table that is asked before the sorted tokens
-SIEVE_BITS = 22
 
 
 @dataclass
@@ -101,29 +99,12 @@ def _cut(size: int):
     return run
 
 
-class Sieve:
-    """Sorted tokens behind a bit table: most words of most texts end at one bit."""
-
-    def __init__(self, tokens: np.ndarray):
-        self.tokens = tokens
-        self.seen = np.zeros(1 << SIEVE_BITS, dtype=bool)
-        self.seen[tokens >> np.uint64(64 - SIEVE_BITS)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in hashes that hold a token, and the tokens' indices."""
-        at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - SIEVE_BITS)])
-        index = np.searchsorted(self.tokens, hashes[at])
-        index[index == len(self.tokens)] = 0
-        good = self.tokens[index] == hashes[at] if len(self.tokens) else np.zeros(len(at), bool)
-        return at[good], index[good]
-
-
 def _count(shared):
     """Occurrences of the benchmark's tokens in the texts of a task."""
 
     def run(batches):
         tokens, sizes = shared.value
-        sieve, total = Sieve(tokens), np.zeros(len(tokens), dtype=np.int64)
+        sieve, total = tk.Sieve(tokens), np.zeros(len(tokens), dtype=np.int64)
         for batch in batches:
             for chunk in tk.chunks(batch.column(0)):
                 words = Words.of(chunk)
@@ -192,7 +173,7 @@ def _expand(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.repeat(first[at], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def occurrences(words: Words, index: Index, sieve: Sieve) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(words: Words, index: Index, sieve: tk.Sieve) -> tuple[np.ndarray, np.ndarray]:
     """Confirmed windows in a chunk: first words and window numbers."""
     starts, windows = [], []
     for size in index.sizes:
@@ -220,7 +201,7 @@ def _probe(shared, columns: list[str], carried: list[str], later: bool):
 
     def run(batches):
         index: Index = shared.value
-        sieve = Sieve(index.tokens)
+        sieve = tk.Sieve(index.tokens)
         for batch in batches:
             for chunk in tk.chunks(batch.column(text_at)):
                 words = Words.of(chunk)

@@ -365,3 +365,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: in
     linked = signed.join(named, ["set_hi", "set_lo"], "left")
     own = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return linked.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document of the smallest
+    doc_id stays, once.  Rows without words and rows without doc_id all stay.
+
+    Only rows whose id may be among those to drop are shuffled; a filter of fixed
+    size lets the others pass where they are read.
+    """
+    verdict = near_duplicates(spark, docs, size, num, den).filter("doc_id is not null")
+    odd = verdict.groupBy(F.col("doc_id").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"), F.max("n_shingles").alias("words"))
+    odd = materialise(spark, odd.filter("not kept or (n > 1 and words > 0)").select("node", "kept"))
+    maybe = in_filter(spark, docs, id_filter(odd)) & F.col("doc_id").isNotNull()
+    passed, asked = docs.filter(~maybe), docs.filter(maybe)
+    joined = asked.join(odd, asked["doc_id"] == odd["node"], "left")
+    free = joined.filter("node is null").select(*(asked[c] for c in docs.columns))
+    single = joined.filter("node is not null and kept").select(*(asked[c] for c in docs.columns)).dropDuplicates(["doc_id"])
+    return passed.union(free).union(single)

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, near_dup, tier_pack, token_pack
+from tessera.llm import decontaminate, line_dedup, near_dup, tier_pack, token_pack, toxicity_pu
 from tessera.runtime import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out fold."""
+    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_pu.train_from_labels(spark, docs, table(spark, sf_dir, "labels"))
+    scored = toxicity_pu.score(spark, docs, model, carry=["doc_id"])
+    return scored.select("doc_id", toxicity_pu.held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= toxicity_pu.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of documents with benchmark items: 13-word windows, contaminated from one word in twenty."""
     docs, items = (table(configure(spark), sf_dir, t) for t in ("documents", "benchmark"))
@@ -52,7 +60,7 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = (op3_prefix_filter_decontamination, op5_lsh_forest_near_dup, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
+QUERIES = (op2_nonnegative_pu_toxicity, op3_prefix_filter_decontamination, op5_lsh_forest_near_dup, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
 
 
 def queries() -> dict[str, Query]:

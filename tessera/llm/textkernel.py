@@ -23,6 +23,9 @@ import pyarrow.compute as pc
 #: Bytes handled at once: the work arrays of 8 bytes a byte stay in cache.
 CHUNK_BYTES = 1 << 19
 
+#: Bits of the table that a sieve asks before its sorted hashes.
+SIEVE_BITS = 22
+
 MASK64 = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _SEEDS = (0x5EED, 0xBEEF)
@@ -177,3 +180,20 @@ def grams(words: np.ndarray, row_of: np.ndarray, n: int) -> tuple[np.ndarray, np
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(row_of[: len(words) - n + 1] == row_of[n - 1 :])
     return gram_hashes(words, n)[at], at
+
+
+class Sieve:
+    """Sorted distinct hashes behind a bit table: most hashes of most texts end at one bit."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+        self.seen = np.zeros(1 << SIEVE_BITS, dtype=bool)
+        self.seen[tokens >> np.uint64(64 - SIEVE_BITS)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in hashes that hold a token, and the tokens' indices."""
+        at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - SIEVE_BITS)])
+        index = np.searchsorted(self.tokens, hashes[at])
+        index[index == len(self.tokens)] = 0
+        good = self.tokens[index] == hashes[at] if len(self.tokens) else np.zeros(len(at), bool)
+        return at[good], index[good]
