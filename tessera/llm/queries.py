@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, near_dup, tier_pack, token_pack, toxicity_pu
+from tessera.llm import decontaminate, host_rules, line_dedup, near_dup, secrets, tier_pack, token_pack, toxicity_pu
 from tessera.runtime import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,22 @@ def op3_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     )
 
 
+def op4_randomness_battery_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base patterns, and tokens that pass the randomness tests."""
+    return secrets.report(secrets.scan(configure(spark), table(spark, sf_dir, "documents")))
+
+
 def op5_lsh_forest_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents: 3-word shingles, similarity 0.85."""
     return near_dup.near_duplicates(configure(spark), table(spark, sf_dir, "documents"), 3, 85, 100)
 
 
+def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every document, and verdicts by document and by host (source)."""
+    judged = host_rules.judge(configure(spark), table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines dropped: keys of 20 code points or more in 3 documents or more."""
     docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
@@ -60,7 +71,7 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = (op2_nonnegative_pu_toxicity, op3_prefix_filter_decontamination, op5_lsh_forest_near_dup, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
+QUERIES = (op2_nonnegative_pu_toxicity, op3_prefix_filter_decontamination, op4_randomness_battery_secrets, op5_lsh_forest_near_dup, op7_host_quality_rules, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
 
 
 def queries() -> dict[str, Query]:
@@ -101,6 +112,33 @@ SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
 FROM ws LEFT JOIN words ON ws.id = words.doc_id LEFT JOIN items ON ws.id = items.doc_id WHERE kind = 'd'
 """
 
+_OP7 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), win AS (
+  SELECT row, i, list_slice(w, i, i + 4) AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+), again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM win) WHERE c > 1
+), covered AS (SELECT row, count(DISTINCT p) AS n_repeat_words FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM again) GROUP BY row
+), m AS (
+  SELECT d.row, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN covered c ON c.row = d.row
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), k AS (
+  SELECT source, count(*) AS n, rule, sum(CAST(bad AS INT)) AS k FROM (
+    SELECT source, unnest(['text', 'symbols', 'lines', 'words']) AS rule,
+      unnest([base_failed, 10 * n_symbols > word_chars, 10 * n_dup_lines > 3 * n_lines, word_chars < 2 * n_words OR word_chars > 20 * n_words]) AS bad FROM f WHERE source IS NOT NULL
+  ) GROUP BY source, rule
+), t AS (SELECT rule, sum(k) / sum(n) AS m, sum(n) AS n, count(*) AS hosts FROM k GROUP BY rule
+), v AS (SELECT k.rule, any_value(m) AS m, sum(k.n * (k.k / k.n - m) ** 2) / any_value(t.n) - any_value(m * (1 - m) * hosts / t.n) AS between_ FROM k JOIN t ON k.rule = t.rule GROUP BY k.rule
+), s AS (SELECT rule, m, CASE WHEN between_ > 0 THEN least(greatest(m * (1 - m) / between_ - 1, 1), 1e6) ELSE 1e6 END AS size FROM v
+), rejected AS (SELECT DISTINCT source FROM k JOIN s ON k.rule = s.rule WHERE (k.k + m * size) / (k.n + size) >= 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.source IS NULL AS kept
+FROM f LEFT JOIN rejected r ON f.source = r.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_filter_decontamination": _OP3, "op8_perfect_hash_line_dedup": _OP8}
+    return {"op3_prefix_filter_decontamination": _OP3, "op7_host_quality_rules": _OP7, "op8_perfect_hash_line_dedup": _OP8}
