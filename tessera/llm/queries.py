@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_rules, line_dedup, near_dup, secrets, tier_pack, token_pack, toxicity_pu
+from tessera.llm import decontaminate, host_rules, line_dedup, near_dup, secrets, tier_pack, token_pack, toxicity_pu, wrapper
 from tessera.runtime import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,12 @@ def op5_lsh_forest_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(configure(spark), table(spark, sf_dir, "documents"), 3, 85, 100)
 
 
+def op6_wrapper_induction_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    done = wrapper.extract(configure(spark), table(spark, sf_dir, "pages"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures of every document, and verdicts by document and by host (source)."""
     judged = host_rules.judge(configure(spark), table(spark, sf_dir, "documents"))
@@ -71,7 +77,7 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = (op2_nonnegative_pu_toxicity, op3_prefix_filter_decontamination, op4_randomness_battery_secrets, op5_lsh_forest_near_dup, op7_host_quality_rules, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
+QUERIES = (op2_nonnegative_pu_toxicity, op3_prefix_filter_decontamination, op4_randomness_battery_secrets, op5_lsh_forest_near_dup, op6_wrapper_induction_text, op7_host_quality_rules, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
 
 
 def queries() -> dict[str, Query]:
@@ -114,8 +120,8 @@ FROM ws LEFT JOIN words ON ws.id = words.doc_id LEFT JOIN items ON ws.id = items
 
 _OP7 = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
 ), win AS (
   SELECT row, i, list_slice(w, i, i + 4) AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d)
 ), again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM win) WHERE c > 1
