@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, host_rules, line_dedup, near_dup, secrets, tier_pack, token_pack, toxicity_pu, wrapper
+from tessera.llm import decontaminate, host_rules, line_dedup, near_dup, resample, secrets, tier_pack, token_pack, toxicity_pu, wrapper
 from tessera.runtime import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document against the texts labelled good, and the nine tenths sampled."""
+    labels = table(configure(spark), sf_dir, "labels")
+    return resample.resample(spark, table(spark, sf_dir, "documents"), labels.filter("quality = 1").select("doc_id"))
+
+
 def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels outside the held-out fold."""
     docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
@@ -77,7 +83,18 @@ def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
-QUERIES = (op2_nonnegative_pu_toxicity, op3_prefix_filter_decontamination, op4_randomness_battery_secrets, op5_lsh_forest_near_dup, op6_wrapper_induction_text, op7_host_quality_rules, op8_perfect_hash_line_dedup, op9_best_fit_token_matrices, op10_tiered_packing)
+QUERIES = (
+    op1_importance_resampling,
+    op2_nonnegative_pu_toxicity,
+    op3_prefix_filter_decontamination,
+    op4_randomness_battery_secrets,
+    op5_lsh_forest_near_dup,
+    op6_wrapper_induction_text,
+    op7_host_quality_rules,
+    op8_perfect_hash_line_dedup,
+    op9_best_fit_token_matrices,
+    op10_tiered_packing,
+)
 
 
 def queries() -> dict[str, Query]:
