@@ -29,9 +29,9 @@ from tessera.llm import textkernel as tk
 from tessera.runtime import ship
 
 #: confirmed toxic texts and unlabelled texts in the fit, at most
-POSITIVES, UNLABELLED = 3000, 6000
+POSITIVES, UNLABELLED = 1000, 3000
 #: bytes of a text that is drawn for the fit, at most
-FIT_BYTES = 1 << 20
+FIT_BYTES = 1 << 16
 #: features of a view
 FEATURES = 1024
 #: least signed root of the likelihood ratio of a feature
@@ -83,11 +83,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits.max(axis=0), -30, 30)))
 
 
-def _presence(texts: list[str], view: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs."""
+def _presence(texts: list[str], view: int, among: tk.Sieve | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) pairs; with ``among`` of its features only, as their indices."""
     rows, hashes = [], []
     for chunk in tk.chunks(pa.array(texts, pa.string())):
         found, row = features(chunk, view)
+        if among:
+            at, found = among.find(found)
+            row = row[at]
         order = np.lexsort((found, row))
         found, row = found[order], row[order]
         fresh = np.ones(len(found), dtype=bool)
@@ -97,26 +100,27 @@ def _presence(texts: list[str], view: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def choose_features(positive: tuple, unlabelled: tuple, n_pos: int, n_unl: int, prior: float, most: int = FEATURES) -> np.ndarray:
+def choose_features(positive: list[str], unlabelled: list[str], view: int, prior: float, most: int = FEATURES) -> np.ndarray:
     """Features far more frequent in positive texts than in the negatives hidden among the unlabelled."""
-    names, code = np.unique(np.concatenate([positive[1], unlabelled[1]]), return_inverse=True)
-    in_pos = np.bincount(code[: len(positive[1])], minlength=len(names))
-    in_unl = np.bincount(code[len(positive[1]) :], minlength=len(names))
+    n_pos, n_unl = len(positive), len(unlabelled)
+    names, in_pos = np.unique(_presence(positive, view)[1], return_counts=True)
+    often = in_pos >= max(2, n_pos / 400)
+    names, in_pos = names[often], in_pos[often]
+    in_unl = np.bincount(_presence(unlabelled, view, tk.Sieve(names))[1], minlength=len(names))
     p, u = in_pos / max(1, n_pos), in_unl / max(1, n_unl)
     negative = np.clip((u - prior * p) / (1 - prior), 0, 1)
     both = (in_pos + in_unl) / max(1, n_pos + n_unl)
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = [np.where(k > 0, k * np.log(k / n / both), 0) for k, n in ((in_pos, max(1, n_pos)), (in_unl, max(1, n_unl)))]
     strength = np.sqrt(np.maximum(2 * (parts[0] + parts[1]), 0))  # signed root of the likelihood ratio
-    good = np.flatnonzero((in_pos >= max(2, n_pos / 400)) & (strength >= STRENGTH) & (p >= 4 * negative))
+    good = np.flatnonzero((strength >= STRENGTH) & (p >= 4 * negative))
     good = good[np.argsort(-strength[good], kind="stable")[:most]]
     return np.sort(names[good])
 
 
-def _matrix(pairs: tuple, names: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, len(names)), dtype=np.float32)
-    at, which = tk.Sieve(names).find(pairs[1])
-    out[pairs[0][at], which] = 1
+def _matrix(texts: list[str], view: int, names: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(texts), len(names)), dtype=np.float32)
+    out[_presence(texts, view, tk.Sieve(names))] = 1
     return out
 
 
@@ -150,10 +154,9 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     for view in (0, 1):
         names, w, b = np.zeros(0, np.uint64), np.zeros(0), base
         if positive and unlabelled:
-            pos, unl = _presence(positive, view), _presence(unlabelled, view)
-            names = choose_features(pos, unl, len(positive), len(unlabelled), prior)
+            names = choose_features(positive, unlabelled, view, prior)
             if len(names):
-                w, b = fit_view(_matrix(pos, names, len(positive)), _matrix(unl, names, len(unlabelled)), prior)
+                w, b = fit_view(_matrix(positive, view, names), _matrix(unlabelled, view, names), prior)
         views.append(View(names, w, b))
     return Model(views)
 
