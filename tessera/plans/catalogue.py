@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import q_agg, q_func, q_join, q_scan
+from tessera.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+BLOCKS = (q_scan.BLOCK, q_agg.BLOCK, q_join.BLOCK, q_func.BLOCK)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: q for block in BLOCKS for name, q in block.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for block in BLOCKS for name, sql in block.oracle.items()}
