@@ -12,30 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, near_dup, tier_pack, toxicity_pu
+from tessera.llm.rows import unwrap, wrap
 from tessera.runtime import configure, materialise, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     model = toxicity_pu.train_from_labels(configure(spark), docs, table(spark, sf_dir, "labels"))
-    return toxicity_pu.score(spark, docs, model).filter(F.col("_score") < toxicity_pu.THRESHOLD).drop("_score")
+    return unwrap(toxicity_pu.score(spark, wrap(docs), model).filter(F.col("_score") < toxicity_pu.THRESHOLD), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the new text."""
-    done = line_dedup.dedup_lines(configure(spark), docs)
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    done = unwrap(line_dedup.dedup_lines(configure(spark), wrap(docs)), docs.columns)
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8."""
-    return near_dup.drop_near_duplicates(configure(spark), docs, 5, 80, 100)
+    return unwrap(near_dup.drop_near_duplicates(configure(spark), wrap(docs), 5, 80, 100), docs.columns)
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one word in twenty inside benchmark passages go."""
-    found = decontaminate.find_overlap(configure(spark), docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~decontaminate.contaminated()).drop("_items", "_n_words", "_n_hit")
+    found = decontaminate.find_overlap(configure(spark), wrap(docs), table(spark, sf_dir, "benchmark"))
+    return unwrap(found.filter(~decontaminate.contaminated()), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,7 +175,7 @@ def _expand(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def occurrences(words: Words, index: Index, sieve: tk.Sieve) -> tuple[np.ndarray, np.ndarray]:
     """Confirmed windows in a chunk: first words and window numbers."""
-    starts, windows = [], []
+    starts, windows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for size in index.sizes:
         hashes, word = words.tokens(size)
         at, token = sieve.find(hashes)
@@ -196,7 +196,7 @@ def occurrences(words: Words, index: Index, sieve: tk.Sieve) -> tuple[np.ndarray
     return start, window
 
 
-def _probe(shared, columns: list[str], carried: list[str], later: bool):
+def _probe(shared, columns: list[str], carried: list[str] | None, later: bool):
     text_at = columns.index("text")
 
     def run(batches):
@@ -212,7 +212,7 @@ def _probe(shared, columns: list[str], carried: list[str], later: bool):
                 hit = np.cumsum(step[:-1]) > 0
                 which, place = _expand(index.window_first, window)
                 pairs = np.unique(np.stack([words.row[start[which]], index.items[place]], axis=1), axis=0)
-                marks, items = [None] * chunk.rows, [[]] * chunk.rows
+                items = [[]] * chunk.rows
                 for r, (a, b) in enumerate(zip(*(np.searchsorted(pairs[:, 0], np.arange(chunk.rows) + k) for k in (0, 1)), strict=True)):
                     items[r] = pairs[a:b, 1]
                 if later:
@@ -223,9 +223,10 @@ def _probe(shared, columns: list[str], carried: list[str], later: bool):
                         items[r] = np.unique(np.concatenate([items[r], np.array(old_items[r], dtype=np.int64)]).astype(np.int64))
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[words.first[1:]] - total[words.first[:-1]]
-                marks = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
                 rows = [c.slice(chunk.first, chunk.rows) for c in batch.columns[: len(columns)]]
-                state = [pa.array(marks, pa.binary())] if carried is None else []
+                state = []
+                if carried is None:  # a later pass goes on from here
+                    state = [pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary())]
                 out = [c for c, name in zip(rows, columns, strict=True) if carried is None or name in carried]
                 names = [name for name in columns if carried is None or name in carried]
                 found = [pa.array(items, pa.list_(pa.int64())), pa.array(np.diff(words.first)), pa.array(n_hit)]
