@@ -48,13 +48,9 @@ class Tree:
         self.children[parent].append(node)
         return node
 
-    def shapes(self) -> tuple[list[int], list[int]]:
-        """A number for the labels of each node's subtree, and the subtree's size."""
-        shape, size = [0] * len(self.tag), [1] * len(self.tag)
-        for node in range(len(self.tag) - 1, -1, -1):
-            shape[node] = hash((self.label[node], tuple(shape[c] for c in self.children[node])))
-            size[node] += sum(size[c] for c in self.children[node])
-        return shape, size
+    def digests(self) -> list[int]:
+        """A digest of each node's own text, 0 without one."""
+        return [digest(t) if t and not t.isspace() else 0 for t in self.text]
 
 
 def parse(page: str) -> Tree:
@@ -135,13 +131,26 @@ class Skeleton:
 
     @classmethod
     def of(cls, tree: Tree) -> Skeleton:
-        return cls(tree.label, tree.parent, [digest(t) if t.strip() else 0 for t in tree.text])
+        return cls(tree.label, tree.parent, tree.digests())
 
-    shapes = Tree.shapes
+    def shapes(self) -> Shapes:
+        return Shapes(self.label, self.children, self.digest)
 
-    @property
-    def tag(self) -> list[str]:
-        return self.label
+
+class Shapes:
+    """For each node's subtree: a number for its labels, one for its labels and texts, and its size."""
+
+    def __init__(self, label: list[str], children: list[list[int]], digest: list[int]):
+        n = len(label)
+        self.labels, self.whole, self.size = [0] * n, [0] * n, [1] * n
+        for node in range(n - 1, -1, -1):
+            own = children[node]
+            if own:
+                self.labels[node] = hash((label[node], *[self.labels[c] for c in own]))
+                self.whole[node] = hash((label[node], *[self.whole[c] for c in own]))
+                self.size[node] += sum([self.size[c] for c in own])
+            else:
+                self.labels[node], self.whole[node] = hash(label[node]), hash((label[node], digest[node]))
 
 
 def digest(text: str) -> int:
@@ -153,23 +162,27 @@ def digest(text: str) -> int:
 CELLS = 200_000
 
 
-def align(page: Tree, pivot: Skeleton, pivot_shapes: tuple[list[int], list[int]]) -> list[int]:
+def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes) -> list[int]:
     """Simple tree matching: for each node of the page its node of the pivot, or -1.
 
     Matched nodes have equal labels and matched parents and keep the order of
-    siblings; the number of matched nodes is the largest possible.  Equal subtrees at
-    both ends of two child lists are matched at once, which never loses a match.
+    siblings; the number of matched nodes is the largest possible.  Subtrees of equal
+    labels at both ends of two child lists are matched at once, which never loses a
+    match; those of equal texts go first, so that a fixed last line meets its like.
     """
-    shape_a, size_a = page.shapes()
-    shape_b, size_b = pivot_shapes
+    own = Shapes(page.label, page.children, digests)
+    shape_a, whole_a, size_a = own.labels, own.whole, own.size
+    shape_b, whole_b = pivot_shapes.labels, pivot_shapes.whole
     out = [-1] * len(page.label)
     known: dict[tuple[int, int], int] = {}
 
     def trimmed(a: list[int], b: list[int]) -> tuple[int, int]:
-        head, most = 0, min(len(a), len(b))
-        while head < most and shape_a[a[head]] == shape_b[b[head]]:
-            head += 1
-        tail = 0
+        head, tail, most = 0, 0, min(len(a), len(b))
+        for of_a, of_b in ((whole_a, whole_b), (shape_a, shape_b)):
+            while tail < most and of_a[a[-1 - tail]] == of_b[b[-1 - tail]] and of_a is whole_a:
+                tail += 1
+            while head < most - tail and of_a[a[head]] == of_b[b[head]]:
+                head += 1
         while tail < most - head and shape_a[a[-1 - tail]] == shape_b[b[-1 - tail]]:
             tail += 1
         return head, tail

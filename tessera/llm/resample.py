@@ -84,7 +84,7 @@ def _weigh(shared):
             out = []
             for chunk in tk.chunks(batch.column(1)):
                 found, row = buckets(chunk)
-                out.append(np.bincount(row, weights=shared.value[found], minlength=chunk.rows))
+                out.append(np.bincount(row, weights=shared.value[found], minlength=chunk.rows).astype(np.float64))  # whole numbers if there are no words
             weight = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(ordered_key(weight + noise))], names=["doc_id", "log_weight", "key"])
 

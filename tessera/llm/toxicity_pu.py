@@ -36,9 +36,13 @@ FIT_BYTES = 1 << 16
 FEATURES = 1024
 #: least signed root of the likelihood ratio of a feature
 STRENGTH = 3.6
+#: where few positive texts leave fewer features than FEW, down to this
+WEAK, FEW = 2.8, 6
 #: bytes of the prefixes of the second view
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 THRESHOLD = 0.7
+#: what a false alarm costs, in hits
+FALSE_COST = 2.0
 
 
 def features(chunk: tk.Chunk, view: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +80,17 @@ class View:
 @dataclass
 class Model:
     views: list[View]
+    #: the logit that becomes a score of THRESHOLD
+    cut: float = float(np.log(THRESHOLD / (1 - THRESHOLD)))
+
+    def logits(self, chunk: tk.Chunk, sieves: list[tk.Sieve]) -> np.ndarray:
+        """The larger of the views' logits."""
+        return np.stack([v.logits(chunk, k, s) for k, (v, s) in enumerate(zip(self.views, sieves, strict=True))]).max(axis=0)
 
     def scores(self, chunk: tk.Chunk, sieves: list[tk.Sieve]) -> np.ndarray:
-        """0 to 1: the larger of the views' probabilities and of their mean's."""
-        logits = np.stack([v.logits(chunk, k, s) for k, (v, s) in enumerate(zip(self.views, sieves, strict=True))])
-        return 1 / (1 + np.exp(-np.clip(logits.max(axis=0), -30, 30)))
+        """0 to 1."""
+        z = self.logits(chunk, sieves) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _presence(texts: list[str], view: int, among: tk.Sieve | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +123,9 @@ def choose_features(positive: list[str], unlabelled: list[str], view: int, prior
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = [np.where(k > 0, k * np.log(k / n / both), 0) for k, n in ((in_pos, max(1, n_pos)), (in_unl, max(1, n_unl)))]
     strength = np.sqrt(np.maximum(2 * (parts[0] + parts[1]), 0))  # signed root of the likelihood ratio
-    good = np.flatnonzero((strength >= STRENGTH) & (p >= 4 * negative))
+    good = np.flatnonzero((strength >= WEAK) & (p >= 4 * negative))
     good = good[np.argsort(-strength[good], kind="stable")[:most]]
+    good = good[: max(FEW, int((strength[good] >= STRENGTH).sum()))]
     return np.sort(names[good])
 
 
@@ -146,6 +157,21 @@ def fit_view(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 40
     return w, b
 
 
+def place_cut(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> float:
+    """The logit from which a text is called toxic: where the hit rate less FALSE_COST times the
+    false-alarm rate is largest, in the middle of the gap.  The false-alarm rate, too, is corrected
+    by the class prior: (rate of the unlabelled - prior * hit rate) / (1 - prior).
+
+    The risk alone puts the cut wrong where the prior is off by the luck of few labels."""
+    steps = np.unique(np.concatenate([z_pos, z_unl]))
+    middles = (steps[1:] + steps[:-1]) / 2
+    if not len(middles):
+        return float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    hit, all_ = (1 - np.searchsorted(np.sort(z), middles) / len(z) for z in (z_pos, z_unl))
+    gain = hit - FALSE_COST * np.maximum(0, (all_ - prior * hit) / (1 - prior))
+    return float(middles[np.flatnonzero(gain == gain.max())[-1]])
+
+
 def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     """Train both views.  Without positive or unlabelled texts every score is the prior's."""
     prior = min(max(prior, 1e-4), 0.9)
@@ -158,7 +184,12 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
             if len(names):
                 w, b = fit_view(_matrix(positive, view, names), _matrix(unlabelled, view, names), prior)
         views.append(View(names, w, b))
-    return Model(views)
+    model = Model(views)
+    if any(len(v.hashes) for v in views):
+        sieves = [tk.Sieve(v.hashes) for v in views]
+        z_pos, z_unl = (np.concatenate([model.logits(chunk, sieves) for chunk in tk.chunks(pa.array(texts, pa.string()))]) for texts in (positive, unlabelled))
+        model.cut = place_cut(z_pos, z_unl, prior)
+    return model
 
 
 def train(spark: SparkSession, docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:

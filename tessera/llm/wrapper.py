@@ -118,7 +118,8 @@ def _compare(batches):
         for host, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             pivot, shapes = pivots.get(text)
             tree = dom.parse(page or "")
-            slots = [(to, dom.digest(tree.text[node]) == pivot.digest[to]) for node, to in enumerate(dom.align(tree, pivot, shapes)) if to >= 0 and pivot.digest[to] and tree.text[node].strip()]
+            own = tree.digests()
+            slots = [(to, own[node] == pivot.digest[to]) for node, to in enumerate(dom.align(tree, own, pivot, shapes)) if to >= 0 and pivot.digest[to] and own[node]]
             if all(same for _, same in slots):
                 continue
             for to, same in slots:
@@ -147,9 +148,9 @@ def _extract(batches):
             template = [False] * len(tree.tag)
             if skeleton and slots:
                 pivot, shapes = pivots.get(skeleton)
-                fixed = set(slots)
-                for node, to in enumerate(dom.align(tree, pivot, shapes)):
-                    template[node] = to in fixed and dom.digest(tree.text[node]) == pivot.digest[to]
+                fixed, own = set(slots), tree.digests()
+                for node, to in enumerate(dom.align(tree, own, pivot, shapes)):
+                    template[node] = to in fixed and own[node] == pivot.digest[to]
             texts.append(main_text(tree, template))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

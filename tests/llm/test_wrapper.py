@@ -104,7 +104,7 @@ def test_alignment_is_a_largest_matching():
     for _ in range(150):
         a, b = dom.parse(some(3)), dom.parse(some(3))
         pivot = dom.Skeleton.of(b)
-        found = dom.align(a, pivot, pivot.shapes())
+        found = dom.align(a, a.digests(), pivot, pivot.shapes())
         pairs = [(x, y) for x, y in enumerate(found) if y >= 0]
         assert len({y for _, y in pairs}) == len(pairs) == matching(0, a, 0, b)
         for x, y in pairs:
