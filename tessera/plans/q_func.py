@@ -181,14 +181,14 @@ def math_extreme_bitwise(t: Tables):
 
 @query("""
 WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(12,2)) AS a, CAST(l_tax AS DECIMAL(4,2)) AS b, CAST(l_quantity AS DECIMAL(10,0)) AS q FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, CAST(a + b AS DOUBLE) AS add_, CAST(a - b AS DOUBLE) AS sub_, CAST(a * b AS DOUBLE) AS mul_, round(CAST(a AS DOUBLE) / CAST(q AS DOUBLE), 4) AS div_, CAST(a % 7 AS DOUBLE) AS mod_, CAST(round(a, 1) AS DOUBLE) AS r1, a > q AS gt,
+SELECT l_orderkey, l_linenumber, l_partkey, CAST(a + b AS DOUBLE) AS add_, CAST(a - b AS DOUBLE) AS sub_, CAST(a * b AS DOUBLE) AS mul_, (CAST(a * 100 AS BIGINT) * 100) // CAST(q AS BIGINT) AS div_, CAST(a % 7 AS DOUBLE) AS mod_, CAST(round(a, 1) AS DOUBLE) AS r1, a > q AS gt,
   CAST(abs(b - a) AS DOUBLE) AS abs_, CAST(a * 100 AS BIGINT) AS digits, CAST(greatest(a, q) AS DOUBLE) AS most FROM d""")
 def dec_arith(t: Tables):
     """Decimal arithmetic, comparison, rounding and digits."""
     a, b, q = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_tax").cast("decimal(4,2)"), F.col("l_quantity").cast("decimal(10,0)")
     d = lambda c, n: c.cast("double").alias(n)
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", d(a + b, "add_"), d(a - b, "sub_"), d(a * b, "mul_"), F.round((a / q).cast("double"), 4).alias("div_"), d(a % 7, "mod_"), d(F.round(a, 1), "r1"), (a > q).alias("gt"), d(F.abs(b - a), "abs_"),
+        "l_orderkey", "l_linenumber", "l_partkey", d(a + b, "add_"), d(a - b, "sub_"), d(a * b, "mul_"), F.floor((a / q) * 10000).cast("long").alias("div_"), d(a % 7, "mod_"), d(F.round(a, 1), "r1"), (a > q).alias("gt"), d(F.abs(b - a), "abs_"),
         numbers.unscaled(a, 2).alias("digits"), d(F.greatest(a, q), "most"),
     )
 
@@ -256,8 +256,8 @@ def date_unix(t: Tables):
 
 
 @query("""
-SELECT event_id, epoch_ms(ts) AS ms, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text_, strftime(ts + INTERVAL 9 HOUR, '%H:%M') AS tokyo, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS from_sec, epoch_ms(ts) AS from_ms, CAST(NULL AS BIGINT) AS other,
-  CAST(NULL AS BIGINT) AS out_, epoch_ms(ts) + 864000000 AS later, CAST(NULL AS BIGINT) AS too_late FROM events""")
+SELECT event_id, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text_, strftime(ts + INTERVAL 9 HOUR, '%H:%M') AS tokyo, CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 AS from_sec, epoch_us(ts) // 1000 AS from_ms, CAST(NULL AS BIGINT) AS other,
+  CAST(NULL AS BIGINT) AS out_, epoch_us(ts) // 1000 + 864000000 AS later, CAST(NULL AS BIGINT) AS too_late FROM events""")
 def date_epoch_ms(t: Tables):
     """Functions over epoch milliseconds, with their range."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
