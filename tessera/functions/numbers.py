@@ -32,6 +32,14 @@ def average(d: Column, precision: int, scale: int, policy: Policy = SPARK) -> Co
     return F.avg(d)
 
 
+def on_overflow(result: Column, *inputs: Column, policy: Policy = SPARK) -> Column:
+    """A decimal result that is NULL though no input is: left so, or an error by policy."""
+    if not policy.overflow_error:
+        return result
+    there = reduce(lambda a, b: a & b, (c.isNotNull() for c in inputs))
+    return F.when(there & result.isNull(), F.raise_error(F.lit("decimal overflow"))).otherwise(result)
+
+
 def combine_hash(first: Column, *rest: Column) -> Column:
     """Hash of several values as a polynomial of 31; NULL counts as 0."""
     return reduce(lambda h, x: h * F.lit(31).cast("long") + F.coalesce(x, F.lit(0)), rest, F.coalesce(first, F.lit(0)).cast("long"))

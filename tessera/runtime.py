@@ -67,7 +67,19 @@ def scratch_dir(spark: SparkSession) -> str:
         base = getattr(spark.sparkContext, "_tessera_scratch", None)
         if not base:
             base = spark.sparkContext._tessera_scratch = f"file://{tempfile.mkdtemp(prefix='tessera-scratch-')}"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    spark.sparkContext._tessera_folders = [*getattr(spark.sparkContext, "_tessera_folders", ()), path]
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this session, once no result is needed that reads them; returns how many."""
+    folders = getattr(spark.sparkContext, "_tessera_folders", ())
+    for path in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark.sparkContext._tessera_folders = []
+    return len(folders)
 
 
 def materialise(spark: SparkSession, df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -91,4 +103,6 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", li
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), key, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", (F.rand(7) * salts).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    # The salt follows from the row, so a task that runs again deals its rows as before.
+    own = F.pmod(F.xxhash64(*[c for c in big.columns if c != key][:2]), F.lit(salts)).cast("int")
+    return big.withColumn("_salt", own).join(salted, [key, "_salt"], how).drop("_salt")

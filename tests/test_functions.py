@@ -110,6 +110,14 @@ def test_dates(spark):
     assert list(row) == [want for _, want in cases]
 
 
+def test_overflow_policy(value):
+    big = L("9" * 37).cast("decimal(38,0)")
+    assert value(numbers.on_overflow(big * big, big)) is None
+    assert value(numbers.on_overflow(big * L(None).cast("int"), big, L(None).cast("int"), policy=Policy(overflow_error=True))) is None
+    with pytest.raises(Exception, match="decimal overflow"):
+        value(numbers.on_overflow(big * big, big, policy=Policy(overflow_error=True)))
+
+
 def test_registration_file():
     lines = ["# name class", "", "Add1Int32 org.example.Add1", "LENGTHSTR org.example.Length extra", "lonely"]
     assert udfs.read_registration(lines) == {"add1int32": "org.example.Add1", "lengthstr": "org.example.Length"}

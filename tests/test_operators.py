@@ -140,6 +140,18 @@ def test_insert_into(spark):
     spark.sql("DROP TABLE tessera_sink")
 
 
+def test_scratch_tables_are_cleared(spark):
+    import os
+
+    from tessera.runtime import clear_scratch, materialise
+
+    clear_scratch(spark)
+    held = materialise(spark, spark.range(5))
+    (folder,) = {os.path.dirname(f).removeprefix("file://") for f in held.inputFiles()}
+    assert held.count() == 5 and os.path.isdir(folder)
+    assert clear_scratch(spark) == 1 and not os.path.isdir(folder)
+
+
 def test_partition_ids_are_those_of_the_exchange(spark):
     from tessera.functions.numbers import partition_id
 
