@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance weight of every document against the texts labelled good, and the nine tenths sampled."""
+    """Importance weight of every document against the texts labelled good, and a sample as large as their share."""
     labels = table(configure(spark), sf_dir, "labels")
-    return resample.resample(spark, table(spark, sf_dir, "documents"), labels.filter("quality = 1").select("doc_id"))
+    return resample.resample(spark, table(spark, sf_dir, "documents"), labels.filter("quality = 1").select("doc_id"), resample.good_share(labels))
 
 
 def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

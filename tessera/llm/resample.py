@@ -107,6 +107,12 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return prefix
 
 
+def good_share(labels: DataFrame, margin: float = 0.01) -> float:
+    """The share of good texts among those labelled (quality 0 or 1), and a margin rather than lose good ones; 0.9 without labels."""
+    n, good = labels.filter("quality is not null").agg(F.count(F.lit(1)), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
+    return min(1.0, good / n + margin) if n else 0.9
+
+
 def resample(spark: SparkSession, docs: DataFrame, target_ids: DataFrame, keep: float = 0.9, seed: int = 1, targets: int = TARGETS) -> DataFrame:
     """Sample the share ``keep`` of the rows of ``docs`` (doc_id, text) by importance.
 

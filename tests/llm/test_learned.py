@@ -104,6 +104,12 @@ def test_sampling_follows_the_weights(spark):
     assert 60 < len(samples[0] & samples[2]) < 140
 
 
+def test_good_share(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1), (5, None)], "doc_id long, quality int")
+    assert resample.good_share(labels) == 0.76 and resample.good_share(labels.limit(0)) == 0.9
+    assert resample.good_share(labels.filter("quality = 1")) == 1.0
+
+
 def test_kth_largest(spark):
     rng = random.Random(8)
     keys = [rng.randint(-(2**63), 2**63 - 1) for _ in range(300)] + [5] * 40 + [-1, 0, 1, 2**63 - 1, -(2**63)]
