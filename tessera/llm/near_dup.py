@@ -16,7 +16,7 @@ Stages, each linear in the rows but for the last:
 4. *Families*: connected components of those edges.  Every two documents that
    share a region of any order are in one family.
 5. *Confirmation*: members of a family meet with their full shingle sets, in
-   blocks of bounded size and pairs of blocks.  Pairs are screened by size and by
+   blocks of bounded size (members and shingles) and pairs of blocks.  Pairs are screened by size and by
    signature (six standard errors below the threshold), then confirmed on the
    full sets; a pair already known to be connected is skipped.  Each pair of
    blocks returns a spanning forest of links.
@@ -39,6 +39,8 @@ VALUES = 128
 TREES = 64
 #: members of a block of a family that are compared in one task
 BLOCK = 1024
+#: shingles of a block, on average: the sets of two blocks are in memory together
+BLOCK_SHINGLES = 1 << 22
 #: bits of the filter that keeps unrelated documents out of the shuffle of sets
 FILTER_BITS = 1 << 22
 
@@ -355,16 +357,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: in
     classes = usable.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
     classes = materialise(spark, classes)
     reps = usable.join(classes.select(F.col("node").alias("doc_id"), "set_hi", "set_lo"), ["doc_id", "set_hi", "set_lo"], "left_semi")
-    reps = materialise(spark, reps.select(F.col("doc_id").alias("node"), "sig"))
+    reps = materialise(spark, reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig"))
 
     families = components(spark, forest_edges(spark, reps, depth))
-    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    placed = families.join(sizes, "label").select("node", "label", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    sized = families.join(reps.select("node", "n_shingles"), "node")
+    sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    placed = families.join(sizes, "label").select("node", "label", blocks.alias("blocks"))
     placed = placed.withColumn("block", F.expr("pmod(xxhash64(node, 11), blocks)"))
 
     wanted = in_filter(spark, texts, id_filter(families))
     sets = texts.filter("doc_id is not null").filter(wanted).mapInArrow(_sets(size), "node long, shingles binary")
-    members = placed.join(sets, "node").join(reps, "node")
+    members = placed.join(sets, "node").join(reps.select("node", "sig"), "node")
     paired = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     paired = paired.select("node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "shingles", "sig")
     links = paired.groupBy("label", "low", "high").applyInArrow(_confirm(num, den), "a long, b long")

@@ -44,10 +44,11 @@ def test_components_equal_brute_force(spark, size, num):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
-def test_blocks_of_a_family_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize(("limit", "size"), [("BLOCK", 4), ("BLOCK_SHINGLES", 300)])
+def test_blocks_of_a_family_give_the_same(spark, monkeypatch, limit, size):
     rows = [(i, t) for i, t in corpus(5, 10) if i is not None]
     want = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, frame(spark, rows), 3, 85, 100).collect()}
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, limit, size)
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, frame(spark, rows), 3, 85, 100).collect()} == want
 
 
