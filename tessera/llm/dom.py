@@ -19,13 +19,15 @@ BLOCK = frozenset(
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 PARAGRAPH_STOPS = frozenset("button table td th body html article section main div li".split())
 MAX_DEPTH = 120
+#: first words of class names that speak of something else
+NEGLIGIBLE = frozenset("has is no with without".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 BREAK = -1
 
@@ -109,12 +111,16 @@ def _marks(tag: str, attributes: str) -> tuple[frozenset, str]:
         return frozenset(), tag
     found, label = set(), tag
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden":
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden":
             found.add("hidden")
+        if name not in ("class", "id", "role"):
             continue
-        found.update(re.split(r"[\s_-]+", value))
-        if name.lower() == "class":
+        for one in value.split() if tag not in ("html", "body") else ():
+            parts = re.split(r"[_-]+", one)
+            if parts[0] not in NEGLIGIBLE:  # has-sidebar says nothing about the element itself
+                found.update(parts)
+        if name == "class":
             label += "." + value
     return frozenset(found - {""}), label
 

@@ -69,6 +69,8 @@ def test_empty(spark):
     ("<header>no</header><article><header><h1>yes</h1></header>text</article>", "yes text"),
     ("<form><p>no</p></form>&lt;p&gt; &amp;c", "<p> &c"),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
+    ("<body class='no-sidebar'><div class='has-sidebar'><article>x</article><div class='side sidebar-left'>no</div></div></body>", "x"), ("<div id=with_nav>x</div><div class=top-nav>no</div>", "x"),
+    ("<p title='a hidden class=ad gem' data-hidden>x</p><p hidden>no</p>", "x"),
     ("<article>x", "x"), ("</div></p>a<", "a<"), ("<article><p>short</p></article><article><p>a much longer one</p></article>", "a much longer one"),
 ])
 def test_reader(source, text):
