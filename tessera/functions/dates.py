@@ -56,3 +56,8 @@ def add_days_millis(ms: Column, days: Column) -> Column:
 def hour_of_millis(ms: Column, zone: str = "UTC") -> Column:
     """Hour of day of epoch milliseconds in a time zone."""
     return F.hour(F.from_utc_timestamp(F.timestamp_millis(ms), zone))
+
+
+def now_millis() -> Column:
+    """Epoch milliseconds at the start of the query."""
+    return F.unix_millis(F.current_timestamp())

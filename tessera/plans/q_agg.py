@@ -245,3 +245,14 @@ def win_array_passthrough(t: Tables):
     """Array columns carried through a window."""
     ranked = t.embeddings.withColumn("rn", F.row_number().over(windows.over(["label"], [key("vec_id")])).cast("long"))
     return ranked.select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), "rn")
+
+
+@query("""
+WITH k AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST('NaN' AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS k, l_quantity FROM lineitem)
+SELECT isnan(k) AS nan, count(*) AS n, sum(l_quantity) AS qty FROM k GROUP BY isnan(k)""")
+def agg_float_keys(t: Tables):
+    """Keys of doubles: 0 and -0 are one group, NaN equals NaN."""
+    third = F.col("l_linenumber") % 3
+    k = F.when(third == 0, F.lit(0.0)).when(third == 1, F.lit(float("nan"))).otherwise(F.lit(-0.0))
+    grouped = t.lineitem.select(k.alias("k"), "l_quantity").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
+    return grouped.select(F.isnan("k").alias("nan"), "n", "qty")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, json_path, numbers, strings, udfs
+from tessera.functions import dates, expressions, json_path, numbers, strings, udfs
 from tessera.functions.policy import PRESTO_STYLE, Policy
 from tessera.plans.registry import Block, Tables
 from tessera.runtime import ship
@@ -315,3 +315,20 @@ def udf_registered(t: Tables):
 
     udfs.register(t.spark, {"Tessera_Title": (title, "string"), "Tessera_Next": (lambda x: x + 1, "int")})
     return t.part.selectExpr("p_partkey", "tessera_title(p_name) AS title", "tessera_next(p_size) AS next")
+
+
+@query("""
+SELECT true AS now_, true AS date_, true AS zone, true AS user_, true AS database_, true AS catalog_""")
+def session_values(t: Tables):
+    """Values of the session: the same for all rows of a query."""
+    now = dates.now_millis()
+    return t.spark.range(1).select(
+        ((now > 1_500_000_000_000) & (now == dates.now_millis())).alias("now_"), F.current_date().isNotNull().alias("date_"), (F.current_timezone() == "UTC").alias("zone"), F.current_user().isNotNull().alias("user_"),
+        F.current_database().isNotNull().alias("database_"), F.current_catalog().isNotNull().alias("catalog_"),
+    )
+
+
+@query("SELECT p_partkey, p_size * 2 + 1 AS odd, upper(p_name) AS up FROM part WHERE p_size BETWEEN 10 AND 20 AND p_name LIKE '%ring'")
+def expr_text(t: Tables):
+    """Expressions given as text, filter and projection fused."""
+    return expressions.evaluate(t.part, {"p_partkey": "p_partkey", "odd": "p_size * 2 + 1", "up": "upper(p_name)"}, "p_size BETWEEN 10 AND 20 AND p_name LIKE '%ring'")

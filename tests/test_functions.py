@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, json_path, numbers, strings, udfs
+from tessera.functions import dates, expressions, json_path, numbers, strings, udfs
 from tessera.functions.policy import PRESTO_STYLE, Policy
 
 
@@ -121,3 +121,9 @@ def test_overflow_policy(value):
 def test_registration_file():
     lines = ["# name class", "", "Add1Int32 org.example.Add1", "LENGTHSTR org.example.Length extra", "lonely"]
     assert udfs.read_registration(lines) == {"add1int32": "org.example.Add1", "lengthstr": "org.example.Length"}
+
+
+def test_expressions_are_checked_without_running(spark):
+    assert expressions.unsupported(spark, "a int, s string", "substr(s, a, 2) LIKE 'x%' AND a IN (1, NULL)") is None
+    for wrong in ("nothing(a)", "b + 1", "a +", "transform(a, x -> x)"):
+        assert expressions.unsupported(spark, "a int, s string", wrong)
