@@ -5,6 +5,7 @@ Spark's parser stops after the first JSON value of a text; what follows it is no
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,24 +14,31 @@ from pyspark.sql import functions as F
 BEHAVIOURS = {"NULL": None, "EMPTY ARRAY": "[]", "EMPTY OBJECT": "{}"}
 
 
+#: kinds that json_value does not return
+NO_SCALAR = "^(OBJECT|ARRAY|VOID|MISSING|BAD)"
+
+
 def normal_path(path: str) -> str:
     """The path with double-quoted keys as single-quoted ones, which Spark reads."""
     return re.sub(r'\["([^"\]]*)"\]', r"['\1']", path)
 
 
-def _kind(json: Column, path: str) -> Column:
-    """OBJECT<..>, ARRAY<..>, a scalar type, VOID for JSON null, or NULL where nothing is found."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _is_json(json: Column) -> Column:
-    return F.try_parse_json(json).isNotNull()
+def _kind(json: Column, path: str) -> Column:
+    """OBJECT<..>, ARRAY<..>, a scalar type, VOID for JSON null, MISSING where nothing is found, BAD for text
+    that is no JSON, or NULL for NULL.  The text is parsed once."""
+    found = lambda v: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("MISSING"))
+    return F.when(json.isNotNull(), _bound(F.try_parse_json(json), lambda v: F.when(v.isNull(), F.lit("BAD")).otherwise(found(v))))
 
 
 def json_value(json: Column, path: str) -> Column:
     """The scalar at ``path`` as text; NULL for what is missing, null, an object or an array."""
     path = normal_path(path)
-    return F.when(~_kind(json, path).rlike("^(OBJECT|ARRAY|VOID)"), F.get_json_object(json, path))
+    return F.when(~_kind(json, path).rlike(NO_SCALAR), F.get_json_object(json, path))
 
 
 def json_value_on(json: Column, path: str | None, on_empty: str = "NULL", on_error: str = "NULL", empty_default: str | None = None, error_default: str | None = None) -> Column:
@@ -47,8 +55,9 @@ def json_value_on(json: Column, path: str | None, on_empty: str = "NULL", on_err
     failed = instead(on_error, error_default, "error")
     if path is None or not re.match(r"\$[.\[]", path):
         return failed
-    good = json_value(json, path)
-    return F.when(json.isNull() | ~_is_json(json), failed).when(good.isNull(), instead(on_empty, empty_default, "empty")).otherwise(good)
+    path = normal_path(path)
+    empty = instead(on_empty, empty_default, "empty")
+    return _bound(_kind(json, path), lambda kind: F.when(kind.isNull() | (kind == "BAD"), failed).when(kind.rlike(NO_SCALAR), empty).otherwise(F.get_json_object(json, path)))
 
 
 def json_query(json: Column, path: str | None, wrapper: str = "WITHOUT", on_empty: str = "NULL", on_error: str = "NULL") -> Column:
@@ -71,18 +80,21 @@ def json_query(json: Column, path: str | None, wrapper: str = "WITHOUT", on_empt
     if not bare.startswith("$"):
         return F.when(json.isNotNull(), failed)
     bare = normal_path(bare)
-    kind, text = _kind(json, bare), F.get_json_object(json, bare)
-    container, array = kind.rlike("^(OBJECT|ARRAY)"), kind.startswith("ARRAY")
-    # get_json_object takes the quotes off a string; to_json puts them on again.
-    single = F.when(kind == "VOID", F.lit("[null]")).when(kind == "STRING", F.to_json(F.array(text))).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    if wrapper == "UNCONDITIONAL":
-        found = single
-    elif wrapper == "CONDITIONAL":
-        found = F.when(array, text).otherwise(single)
-    else:
-        found = F.when(kind == "VOID", empty).when(container, text).otherwise(failed if mode == "strict" else empty)
-    missing = failed if mode == "strict" else empty
-    return F.when(json.isNull(), F.lit(None)).when(~_is_json(json), failed).when(kind.isNull(), missing).otherwise(found)
+    text, missing = F.get_json_object(json, bare), failed if mode == "strict" else empty
+
+    def result(kind: Column) -> Column:
+        container, array = kind.rlike("^(OBJECT|ARRAY)"), kind.startswith("ARRAY")
+        # get_json_object takes the quotes off a string; to_json puts them on again.
+        single = F.when(kind == "VOID", F.lit("[null]")).when(kind == "STRING", F.to_json(F.array(text))).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+        if wrapper == "UNCONDITIONAL":
+            found = single
+        elif wrapper == "CONDITIONAL":
+            found = F.when(array, text).otherwise(single)
+        else:
+            found = F.when(kind == "VOID", empty).when(container, text).otherwise(missing)
+        return F.when(kind.isNull(), F.lit(None)).when(kind == "BAD", failed).when(kind == "MISSING", missing).otherwise(found)
+
+    return _bound(_kind(json, bare), result)
 
 
 def json_split(json: Column) -> Column:
