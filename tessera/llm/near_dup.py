@@ -230,29 +230,22 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return materialise(spark, labels.join(least, "label").select("node", F.col("least").alias("label")))
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with a bit for each id; its size is fixed, so beyond
-    its capacity it lets more through but never loses an id."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = ids.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}) & 63 as int))").alias("bit"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for batch in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return out
-
-
-def in_filter(spark: SparkSession, docs: DataFrame, bits: np.ndarray, id_column: str = "doc_id") -> F.Column:
-    """Condition: the row's id may be in the filter (a bounded literal array on the executors)."""
-    shared = spark.sparkContext.broadcast(bits)
+def id_filter(ids: DataFrame) -> DataFrame:
+    """A bitmap of FILTER_BITS bits with a bit for each node, as rows (word, bits) of 64 bits.
 
-    @F.pandas_udf("boolean")
-    def maybe(at):
-        import pandas as pd
+    It has FILTER_BITS / 64 rows at most, so it may be broadcast whatever the number
+    of ids; beyond its capacity it lets more through but never loses an id."""
+    at = ids.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
-        at = at.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return maybe(F.pmod(F.xxhash64(F.coalesce(F.col(id_column), F.lit(-1).cast("long"))), F.lit(FILTER_BITS)))
+def maybe_in(docs: DataFrame, bitmap: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose doc_id may be in the bitmap, or all others; rows without doc_id are others."""
+    at = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(FILTER_BITS))
+    bitmap = F.broadcast(bitmap.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    hit = docs["doc_id"].isNotNull() & (F.shiftright(at, 6) == F.col("_word")) & (F.call_function("shiftright", F.col("_bits"), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+    return docs.join(bitmap, hit, "left_semi" if inside else "left_anti")
 
 
 def _sets(size: int):
@@ -366,8 +359,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: in
     placed = families.join(sizes, "label").select("node", "label", blocks.alias("blocks"))
     placed = placed.withColumn("block", F.expr("pmod(xxhash64(node, 11), blocks)"))
 
-    wanted = in_filter(spark, texts, id_filter(families))
-    sets = texts.filter("doc_id is not null").filter(wanted).mapInArrow(_sets(size), "node long, shingles binary")
+    wanted = maybe_in(texts, materialise(spark, id_filter(families)))
+    sets = wanted.mapInArrow(_sets(size), "node long, shingles binary")
     members = placed.join(sets, "node").join(reps.select("node", "sig"), "node")
     paired = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     paired = paired.select("node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "shingles", "sig")
@@ -390,8 +383,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, nu
     verdict = near_duplicates(spark, docs, size, num, den).filter("doc_id is not null")
     odd = verdict.groupBy(F.col("doc_id").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"), F.max("n_shingles").alias("words"))
     odd = materialise(spark, odd.filter("not kept or (n > 1 and words > 0)").select("node", "kept"))
-    maybe = in_filter(spark, docs, id_filter(odd)) & F.col("doc_id").isNotNull()
-    passed, asked = docs.filter(~maybe), docs.filter(maybe)
+    bitmap = materialise(spark, id_filter(odd))
+    passed, asked = maybe_in(docs, bitmap, False), maybe_in(docs, bitmap)
     joined = asked.join(odd, asked["doc_id"] == odd["node"], "left")
     free = joined.filter("node is null").select(*(asked[c] for c in docs.columns))
     single = joined.filter("node is not null and kept").select(*(asked[c] for c in docs.columns)).dropDuplicates(["doc_id"])

@@ -77,6 +77,15 @@ def test_room_tree_finds_the_least_room(steps):
                 held.remove(found[1])
 
 
+def test_ids_are_those_of_the_tokenizers_library(reference_ids):
+    import random
+
+    rng, known = random.Random(1), tokens.encoder()
+    pieces = [*"abcXYZ 0189\n\t\r '’\"!#|é ßñ中文字한글😀\u2003\xa0\u200b\u0301\x00\x1c\x85٣½Ⅷ²", "'s", "'ll", " 's", "<|endoftext|>", "  ", "\n\n"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(600)] + ["a" * 3000, " " * 3000, "é" * 2000]
+    assert all(known.encode_ordinary(t) == reference_ids(t) for t in texts)
+
+
 def _texts(rows):
     held = defaultdict(list)
     for i, t in rows:
