@@ -4,13 +4,16 @@ For each host one page, that of the least hash, is the pivot.  Every page of the
 host is aligned with it by simple tree matching, where it is read, and tells for
 each text slot of the pivot whether its own text there is the same.  Summed over
 all pages of the host, slots that never change are its template, and all other text is
-content.  A second pass aligns each page again and writes the content.  No pages
+content, wherever it stands.  A second pass aligns each page again and writes the content.  No pages
 are gathered by host: what is shuffled are sums by host and slot, so a host with
 a third of all pages is as cheap as any other.
 
 What the alignment can't tell is told by markup: menus, footers, forms and the
-like vary between pages but are no content, and a paragraph of an article may be
-the same on all pages of a small host but is.
+like vary between pages but are no content.  A paragraph of an article may be the
+same on all pages of a small host but is content, so a slot inside an article or
+main element is template on the evidence of more pages than one elsewhere.  Only
+where no slot of a host was compared often enough does markup alone choose the
+article.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from tessera.runtime import join_small, materialise, ship
 LEAST_PAGES = 3
 #: hosts whose pivots or wrappers may be broadcast, at some kilobytes each
 BROADCAST_HOSTS = 4000
-#: code points of a constant slot inside an article that count as template
-SHORT = 40
+#: the same for a slot inside an article or main element
+LEAST_ARTICLE_PAGES = 6
 
 #: elements that hold no main text
 DROP_TAGS = frozenset("head nav footer aside form button select option textarea script style noscript template iframe svg title dialog menu".split())
@@ -49,12 +52,18 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def within(tree: dom.Tree) -> list[bool]:
+    """For each node: it stands in some article or main element."""
+    inside = [False] * len(tree.tag)
+    for node in range(1, len(inside)):
+        inside[node] = inside[tree.parent[node]] or tree.tag[node] in ("article", "main") or "main" in tree.marks[node]
+    return inside
+
+
 def regions(tree: dom.Tree) -> tuple[list[bool], list[bool]]:
-    """For each node: it stands in markup that holds no main text; it stands in the article."""
+    """For each node: it stands in markup that holds no main text; it stands in the article that markup alone chooses."""
     n = len(tree.tag)
-    inside = [False] * n
-    for node in range(1, n):
-        inside[node] = inside[tree.parent[node]] or tree.tag[node] in ("article", "main") or "main" in tree.marks[node]
+    inside = within(tree)
     dropped = [False] * n
     for node in range(1, n):
         tag, marks = tree.tag[node], tree.marks[node]
@@ -72,17 +81,20 @@ def regions(tree: dom.Tree) -> tuple[list[bool], list[bool]]:
     return dropped, article
 
 
-def main_text(tree: dom.Tree, template: list[bool]) -> str:
-    """Blocks of the page's content in page order, white space collapsed, joined by a space."""
+def main_text(tree: dom.Tree, template: list[bool], compared: bool = False) -> str:
+    """Blocks of the page's content in page order, white space collapsed, joined by a space.
+
+    Content of a page whose host's slots were compared is all text but the template and
+    what markup drops; of any other page, the article if it has one."""
     dropped, article = regions(tree)
-    only = any(article)
+    only = not compared and any(article)
     blocks, held = [], []
     for node in (*tree.items, dom.BREAK):
         if node == dom.BREAK:
             if block := " ".join("".join(held).split()):
                 blocks.append(block)
             held = []
-        elif not dropped[node] and (article[node] or not only) and not (template[node] and (not only or len(tree.text[node].strip()) <= SHORT)):
+        elif not dropped[node] and (article[node] or not only) and not template[node]:
             held.append(tree.text[node])
     return " ".join(blocks)
 
@@ -141,17 +153,17 @@ def _sum_batch(sums) -> pa.RecordBatch:
 def _extract(batches):
     pivots = _Pivots()
     for batch in batches:
-        ids, urls, pages, skeletons, constant = (c.to_pylist() for c in batch.columns)
+        ids, urls, pages, skeletons, constant, surely = (c.to_pylist() for c in batch.columns)
         texts = []
-        for page, skeleton, slots in zip(pages, skeletons, constant, strict=True):
+        for page, skeleton, slots, sure in zip(pages, skeletons, constant, surely, strict=True):
             tree = dom.parse(page or "")
             template = [False] * len(tree.tag)
             if skeleton and slots:
                 pivot, shapes = pivots.get(skeleton)
-                fixed, own = set(slots), tree.digests()
+                fixed, own, inside = (set(slots), set(sure)), tree.digests(), within(tree)
                 for node, to in enumerate(dom.align(tree, own, pivot, shapes)):
-                    template[node] = to in fixed and own[node] == pivot.digest[to]
-            texts.append(main_text(tree, template))
+                    template[node] = to in fixed[inside[node]] and own[node] == pivot.digest[to]
+            texts.append(main_text(tree, template, skeleton is not None))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -160,7 +172,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Returns page_id, url and text.  A null or empty page has the empty text.  Pages
     without a host in their url, and hosts of too few different pages, have no
-    template; their text is told by markup alone.  Copies of the pivot tell nothing
+    template; their text is told by markup alone: the longest article, else the longest main
+    element, else all that is not dropped.  Copies of the pivot tell nothing
     about its slots and are not counted.  Repeated rows are pages of their own.
     """
     ship(spark)
@@ -174,7 +187,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     paired = join_small(known, pivots, "host", "inner", BROADCAST_HOSTS).select("host", "html", "skeleton")
     sums = paired.mapInArrow(_compare, "host string, slot int, pages long, same long").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    fixed = sums.filter((F.col("pages") >= LEAST_PAGES) & (F.col("same") == F.col("pages")))
-    slots = fixed.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    constant = F.col("same") == F.col("pages")
+    fixed = [F.sort_array(F.collect_list(F.when(constant & (F.col("pages") >= least), F.col("slot")))).alias(name) for least, name in ((LEAST_PAGES, "slots"), (LEAST_ARTICLE_PAGES, "sure"))]
+    slots = sums.filter(F.col("pages") >= LEAST_PAGES).groupBy("host").agg(*fixed)
     wrappers = materialise(spark, pivots.join(slots, "host"))
-    return join_small(rows, wrappers, "host", "left", BROADCAST_HOSTS).select("page_id", "url", "html", "skeleton", "slots").mapInArrow(_extract, "page_id long, url string, text string")
+    return join_small(rows, wrappers, "host", "left", BROADCAST_HOSTS).select("page_id", "url", "html", "skeleton", "slots", "sure").mapInArrow(_extract, "page_id long, url string, text string")

@@ -58,6 +58,25 @@ def test_joined_wrappers_give_the_same(spark, monkeypatch):
     assert {r.page_id: r.text for r in wrapper.extract(spark, rows_of(spark, rows)).collect()} == want
 
 
+def test_slots_choose_the_content_of_pages_with_articles(spark):
+    """Every article and a text outside of them vary and stay; a long notice inside an article never changes and goes."""
+    rng, rows, want = random.Random(5), [], {}
+    words = lambda n: " ".join(rng.choice("red green blue white black".split()) for _ in range(n))
+    notice = "This notice of more than forty characters stands on every page of the host"
+    for i in range(12):
+        a, b, c, d = words(6), words(30), words(40), words(25)
+        rows.append((i, f"http://many.example/{i}", f"<body><nav>{words(3)}</nav><div>Welcome to all</div><article><p>{a}</p></article><article><p>{b}</p><p>{notice}</p></article><div>{c}</div><main><p>{d}</p></main></body>"))
+        want[i] = " ".join((a, b, c, d))
+    assert {r.page_id: r.text for r in wrapper.extract(spark, rows_of(spark, rows)).collect()} == want
+
+
+def test_shared_paragraph_of_a_small_host_stays(spark):
+    rng, shared = random.Random(6), "This paragraph of more than forty characters is shared by all five pages"
+    pages = [page(rng, "small.example", extra=f"<p>{shared}</p>") for _ in range(5)]
+    rows = [(i, "http://small.example/", text) for i, (text, _) in enumerate(pages)]
+    assert {r.page_id: r.text for r in wrapper.extract(spark, rows_of(spark, rows)).collect()} == {i: f"{want} {shared}" for i, (_, want) in enumerate(pages)}
+
+
 def test_empty(spark):
     assert wrapper.extract(spark, rows_of(spark, [])).count() == 0
 
