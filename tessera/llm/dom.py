@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
 
 #: elements without content
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -18,7 +19,6 @@ BLOCK = frozenset(
 #: an open element that a start tag closes, up to the nearest of the stops
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 PARAGRAPH_STOPS = frozenset("button table td th body html article section main div li".split())
-MAX_DEPTH = 120
 #: first words of class names that speak of something else
 NEGLIGIBLE = frozenset("has is no with without".split())
 
@@ -56,8 +56,25 @@ class Tree:
 
 
 def parse(page: str) -> Tree:
-    """Read a page; unclosed and misnested elements are closed as far as the text needs it."""
+    """Read a page; unclosed and misnested elements are closed as far as the text needs it.
+
+    Elements may be nested to any depth: the depths of the open ones are known by tag,
+    so that an end tag finds its element without a walk over all that are open."""
     tree, stack, at = Tree(), [0], 0
+    opened: dict[str, list[int]] = defaultdict(list)
+
+    def innermost(tags) -> int:
+        return max([opened[t][-1] for t in tags if opened.get(t)], default=0)
+
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[tree.tag[node]].pop()
+        del stack[depth:]
+
+    def close(what: set, stops) -> None:
+        depth = innermost(what)
+        if depth and depth > innermost(stops):
+            cut(depth)
 
     def words(raw: str) -> None:
         if raw.strip():
@@ -78,34 +95,23 @@ def parse(page: str) -> Tree:
         if tag in BLOCK or tag == "br":
             tree.items.append(BREAK)
         if token["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                cut(opened[tag][-1])
             continue
         if tag in BLOCK:
-            _close(tree, stack, {"p"}, PARAGRAPH_STOPS)
+            close({"p"}, PARAGRAPH_STOPS)
         if tag in CLOSES:
-            _close(tree, stack, *CLOSES[tag])
+            close(*CLOSES[tag])
         marks, label = _marks(tag, token["attributes"])
         node = tree.add(stack[-1], tag, label, marks=marks)
-        if tag not in VOID and not token["attributes"].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+        if tag not in VOID and not token["attributes"].rstrip().endswith("/"):
+            opened[tag].append(len(stack))
             stack.append(node)
     if at < len(page):
         words(page[at:])
     return tree
 
 
-def _close(tree: Tree, stack: list[int], what: set, stops) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        tag = tree.tag[stack[k]]
-        if tag in what:
-            del stack[k:]
-            return
-        if tag in stops:
-            return
-
-
 def _marks(tag: str, attributes: str) -> tuple[frozenset, str]:
     if not attributes.strip():
         return frozenset(), tag
@@ -180,7 +186,7 @@ def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes)
     shape_a, whole_a, size_a = own.labels, own.whole, own.size
     shape_b, whole_b = pivot_shapes.labels, pivot_shapes.whole
     out = [-1] * len(page.label)
-    known: dict[tuple[int, int], int] = {}
+    known: dict[tuple[int, int], int] = {}  # by shapes
 
     def trimmed(a: list[int], b: list[int]) -> tuple[int, int]:
         head, tail, most = 0, 0, min(len(a), len(b))
@@ -207,13 +213,32 @@ def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes)
             return 0
         if shape_a[x] == shape_b[y]:
             return size_a[x]
-        if (x, y) not in known:
+        key = shape_a[x], shape_b[y]
+        if key not in known:
+            weigh(x, y)
+        return known[key]
+
+    def weigh(x: int, y: int) -> None:
+        """Fill in what is known of two subtrees, the inner ones first: pages may be deeper than calls."""
+        todo = [(x, y, False)]
+        while todo:
+            x, y, ready = todo.pop()
+            key = shape_a[x], shape_b[y]
+            if key in known:
+                continue
             a, b = page.children[x], pivot.children[y]
             head, tail = trimmed(a, b)
-            total = 1 + sum(size_a[c] for c in (*a[:head], *a[len(a) - tail :]))
+            total = 1 + sum([size_a[c] for c in (*a[:head], *a[len(a) - tail :])])
             a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-            known[x, y] = total + (table(a, b)[-1][-1] if len(a) * len(b) <= CELLS else 0)
-        return known[x, y]
+            if len(a) * len(b) > CELLS:
+                known[key] = total
+            elif ready:
+                known[key] = total + table(a, b)[-1][-1]
+            else:
+                todo.append((x, y, True))
+                kinds = {shape_b[d]: d for d in b}.values()
+                for c in {shape_a[c]: c for c in a}.values():
+                    todo += [(c, d, False) for d in kinds if page.label[c] == pivot.label[d] and shape_a[c] != shape_b[d] and (shape_a[c], shape_b[d]) not in known]
 
     def pair(x: int, y: int) -> None:
         todo = [(x, y)]

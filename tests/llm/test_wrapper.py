@@ -103,6 +103,22 @@ def test_deep_and_broken_markup_is_read():
     assert len(dom.parse("<p>x" * 20_000).tag) == 40_001
 
 
+@pytest.mark.parametrize("depth", [130, 5000])
+def test_deep_elements_open_and_close(depth):
+    source = f"<div><article><p>first</p>{'<div>' * depth}<nav>no</nav>{'</div>' * depth}<p>rest</p></article><div>outside</div></div>"
+    tree = dom.parse(source)
+    assert wrapper.main_text(tree, [False] * len(tree.tag)) == "first rest"
+    assert wrapper.main_text(tree, [False] * len(tree.tag), True) == "first rest outside"
+
+
+def test_deep_pages_are_aligned():
+    one, other = ("<div>" * 3000 + "<b>x</b>" * k + "</div><i>y</i>" * 3000 for k in (1, 2))
+    a, b = dom.parse(one), dom.parse(other)
+    pivot = dom.Skeleton.of(b)
+    found = dom.align(a, a.digests(), pivot, pivot.shapes())
+    assert sum(y >= 0 for y in found) == len(a.tag) and found[0] == 0
+
+
 def matching(a, ta, b, tb):
     """Largest simple tree matching by the textbook recursion."""
     if ta.label[a] != tb.label[b]:
