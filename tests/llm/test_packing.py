@@ -86,6 +86,28 @@ def test_ids_are_those_of_the_tokenizers_library(reference_ids):
     assert all(known.encode_ordinary(t) == reference_ids(t) for t in texts)
 
 
+def test_added_tokens_are_those_of_the_tokenizers_library_by_default(spark):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
+    rng, pieces = random.Random(2), ["<|endoftext|>", "<|endoftext|", "<|", "|>", " ", "\n", "a", "'s", "é", "0"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 20))) for _ in range(400))]
+    want = [[*known.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert want[0] == [64, 220, 50256, 275, 7]
+    assert [ids.tolist() for ids in tokens.encode(pa.array(texts), 7)] == want
+    rows = frame(spark, list(enumerate(texts[:40])))
+    tiers, matrices = defaultdict(list), defaultdict(list)
+    for r in tier_pack.pack_tiers(spark, rows, end_id=7).collect():
+        tiers[r.doc_id].append((r.start, bytes(r.ids)))
+    for r in token_pack.segments(token_pack.pack_matrices(spark, rows, end_id=7)).collect():
+        matrices[r.doc_id].append((r.start, bytes(r.ids)))
+    for held in (tiers, matrices):
+        assert [np.frombuffer(b"".join(b for _, b in sorted(held[i])), "<u4").tolist() for i in range(40)] == want[:40]
+
+
 def _texts(rows):
     held = defaultdict(list)
     for i, t in rows:
