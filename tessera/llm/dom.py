@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+
 #: elements without content
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is not markup
@@ -170,17 +172,23 @@ def digest(text: str) -> int:
     return zlib.crc32(" ".join(text.split()).encode("utf-8", "surrogatepass")) + 1
 
 
-#: cells of the table of two child lists; longer lists are matched in order of their labels
+#: cells of the table of two child lists; longer lists are halved until their tables are as small
 CELLS = 200_000
+#: weights of subtrees and of lists that are held at a time
+HELD = 2_000_000
+#: bits of a weight that count nodes of equal texts; those above count matched nodes
+EQUAL_BITS = 24
 
 
 def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes) -> list[int]:
     """Simple tree matching: for each node of the page its node of the pivot, or -1.
 
     Matched nodes have equal labels and matched parents and keep the order of
-    siblings; the number of matched nodes is the largest possible.  Subtrees of equal
-    labels at both ends of two child lists are matched at once, which never loses a
-    match; those of equal texts go first, so that a fixed last line meets its like.
+    siblings; the number of matched nodes is the largest possible, for lists of any
+    length.  Among the largest matchings of two child lists one is taken that pairs most
+    nodes of subtrees of equal texts, so that a fixed line between varying ones meets its
+    like; equal subtrees at both ends are matched at once, which never loses a match.
+    Memory grows with the length of the lists, not with its square: Hirschberg's halving.
     """
     own = Shapes(page.label, page.children, digests)
     shape_a, whole_a, size_a = own.labels, own.whole, own.size
@@ -188,25 +196,64 @@ def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes)
     out = [-1] * len(page.label)
     known: dict[tuple[int, int], int] = {}  # by shapes
 
-    def trimmed(a: list[int], b: list[int]) -> tuple[int, int]:
+    def alike(a: list[int], b: list[int], of_a: list[int], of_b: list[int]) -> tuple[int, int]:
+        """How many subtrees are alike at the heads of two lists, and how many at the tails of the rest."""
         head, tail, most = 0, 0, min(len(a), len(b))
-        for of_a, of_b in ((whole_a, whole_b), (shape_a, shape_b)):
-            while tail < most and of_a[a[-1 - tail]] == of_b[b[-1 - tail]] and of_a is whole_a:
-                tail += 1
-            while head < most - tail and of_a[a[head]] == of_b[b[head]]:
-                head += 1
-        while tail < most - head and shape_a[a[-1 - tail]] == shape_b[b[-1 - tail]]:
+        while tail < most and of_a[a[-1 - tail]] == of_b[b[-1 - tail]]:
             tail += 1
+        while head < most - tail and of_a[a[head]] == of_b[b[head]]:
+            head += 1
         return head, tail
 
-    def table(a: list[int], b: list[int]) -> list[list[int]]:
-        best = [[0] * (len(b) + 1)]
+    def weights(a: list[int], b: list[int], equal: bool):
+        """For each of ``a`` its weights with all of ``b``; with ``equal``, equal texts break ties."""
+        kinds = {shape_b[y]: y for y in b}
+        place = {shape: k for k, shape in enumerate(kinds)}
+        code = np.array([place[shape_b[y]] for y in b])
+        texts = np.array([whole_b[y] for y in b]) if equal else None
+        rows: dict[int, np.ndarray] = {}
         for x in a:
-            above, row = best[-1], [0]
-            for j, y in enumerate(b):
-                row.append(max(above[j + 1], row[j], above[j] + weight(x, y)))
-            best.append(row)
-        return best
+            shape = shape_a[x]
+            if shape not in rows:
+                if len(rows) * len(b) > HELD:
+                    rows.clear()
+                rows[shape] = np.array([weight(x, y) for y in kinds.values()], np.int64)[code] << EQUAL_BITS
+            yield rows[shape] + (texts == whole_a[x]) * size_a[x] if equal else rows[shape]
+
+    def best(a: list[int], b: list[int], equal: bool):
+        """The best sums of ``a``'s first 0, 1, ... lists with all heads of ``b``, row by row."""
+        row = np.zeros(len(b) + 1, np.int64)
+        yield row
+        for own in weights(a, b, equal):
+            row = np.concatenate(([0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + own))))
+            yield row
+
+    def last(a: list[int], b: list[int], equal: bool) -> np.ndarray:
+        for row in best(a, b, equal):
+            pass
+        return row
+
+    def matched(a: list[int], b: list[int]):
+        """Pairs of a best matching of two lists."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            half = len(a) // 2
+            if half and len(a) * len(b) > CELLS:
+                ends = last(a[:half], b, True) + last(a[half:][::-1], b[::-1], True)[::-1]
+                cut = int(ends.argmax())
+                todo += [(a[:half], b[:cut]), (a[half:], b[cut:])]
+                continue
+            table = [row.tolist() for row in best(a, b, True)] if a and b else []
+            i, j = len(a), len(b)
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield a[i], b[j]
 
     def weight(x: int, y: int) -> int:
         if page.label[x] != pivot.label[y]:
@@ -215,6 +262,8 @@ def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes)
             return size_a[x]
         key = shape_a[x], shape_b[y]
         if key not in known:
+            if len(known) > HELD:
+                known.clear()
             weigh(x, y)
         return known[key]
 
@@ -227,13 +276,11 @@ def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes)
             if key in known:
                 continue
             a, b = page.children[x], pivot.children[y]
-            head, tail = trimmed(a, b)
+            head, tail = alike(a, b, shape_a, shape_b)
             total = 1 + sum([size_a[c] for c in (*a[:head], *a[len(a) - tail :])])
             a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-            if len(a) * len(b) > CELLS:
-                known[key] = total
-            elif ready:
-                known[key] = total + table(a, b)[-1][-1]
+            if ready or not a or not b:
+                known[key] = total + (int(last(a, b, False)[-1]) >> EQUAL_BITS if a and b else 0)
             else:
                 todo.append((x, y, True))
                 kinds = {shape_b[d]: d for d in b}.values()
@@ -249,31 +296,11 @@ def align(page: Tree, digests: list[int], pivot: Skeleton, pivot_shapes: Shapes)
             if shape_a[x] == shape_b[y]:
                 todo += zip(a, b, strict=True)
                 continue
-            head, tail = trimmed(a, b)
+            head, tail = alike(a, b, whole_a, whole_b)
             todo += zip(a[:head], b[:head], strict=True)
             if tail:
                 todo += zip(a[-tail:], b[-tail:], strict=True)
-            a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-            if len(a) * len(b) > CELLS:
-                k = 0
-                for c in a:
-                    while k < len(b) and pivot.label[b[k]] != page.label[c]:
-                        k += 1
-                    if k == len(b):
-                        break
-                    todo.append((c, b[k]))
-                    k += 1
-                continue
-            best = table(a, b)
-            i, j = len(a), len(b)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    todo.append((a[i], b[j]))
+            todo += matched(a[head : len(a) - tail], b[head : len(b) - tail])
 
     pair(0, 0)
     return out

@@ -148,6 +148,28 @@ def test_alignment_is_a_largest_matching():
             assert a.label[x] == b.label[y] and (x == 0 or found[a.parent[x]] == b.parent[y])
 
 
+def test_long_lists_are_matched_as_well_as_short_ones(monkeypatch):
+    """A surplus element near the start, lists of more cells than a table holds: all lines meet their like."""
+    line = lambda k, page: f"<p>fixed {k}</p>" if k % 3 == 0 else f"<p>{page} {k}</p>"
+    one = "<body><h2>only here</h2>" + "".join(line(k, "one") for k in range(1, 900)) + "<ol><li>x</li></ol></body>"
+    other = "<body>" + "".join(line(k, "other") for k in range(-1, 900)) + "</body>"
+    a, b = dom.parse(one), dom.parse(other)
+    pivot = dom.Skeleton.of(b)
+    found = dom.align(a, a.digests(), pivot, pivot.shapes())
+    fixed = [node for node, text in enumerate(a.text) if text.startswith("fixed")]
+    assert len(fixed) == 299 and all(found[n] >= 0 and b.text[found[n]] == a.text[n] for n in fixed)
+    assert sum(y >= 0 for y in found) == len(a.tag) - 5  # all but the h2, its text, the list, its item and text
+
+    rng = random.Random(10)
+    for cells in (1, 4, 30):
+        monkeypatch.setattr(dom, "CELLS", cells)
+        for _ in range(60):
+            source = lambda: "".join(f"<{t}>{'<b>x</b>' * rng.randint(0, 2)}</{t}>" for t in rng.choices(["p", "i", "h2"], k=rng.randint(0, 12)))
+            a, b = dom.parse(source()), dom.parse(source())
+            pivot = dom.Skeleton.of(b)
+            assert sum(y >= 0 for y in dom.align(a, a.digests(), pivot, pivot.shapes())) == matching(0, a, 0, b)
+
+
 def test_regular_expression_agrees_on_the_tables(spark):
     def plain(source):
         inner = re.search(r"<article>(.*?)</article>", source, re.S)[1]
