@@ -35,7 +35,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one word in twenty inside benchmark passages go."""
-    found = decontaminate.find_overlap(configure(spark), wrap(docs), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_overlap(configure(spark), wrap(docs), table(spark, sf_dir, "benchmark"), nameless=True)
     return unwrap(found.filter(~decontaminate.contaminated()), docs.columns)
 
 

@@ -235,7 +235,7 @@ def _probe(shared, columns: list[str], carried: list[str] | None, later: bool):
     return run
 
 
-def find_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13, carry: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13, carry: list[str] | None = None, block_windows: int = BLOCK_WINDOWS, nameless: bool = False) -> DataFrame:
     """Words of ``docs`` covered by windows of ``benchmark``.
 
     Words are the maximal runs of ASCII letters and digits and of all code points
@@ -244,13 +244,16 @@ def find_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
 
     Returns the columns ``carry`` of docs (all by default) and _items (distinct
     item ids, ascending), _n_words and _n_hit.  Null and empty texts have no
-    words.  Items without words or without item_id are ignored; items that repeat
-    an id count as one.  An empty benchmark hits nothing.
+    words.  Items without words are ignored; items that repeat an id count as one.
+    Items without item_id are ignored, or with ``nameless`` hit words as others do
+    and stand in _items as one null.  An empty benchmark hits nothing.
     """
     ship(spark)
     columns = docs.columns
     carry = columns if carry is None else carry
-    items = benchmark.filter("item_id is not null").select("item_id", "text")
+    items = benchmark.select("item_id", "text")
+    stand_in = _unused_id(items) if nameless else None
+    items = items.filter("item_id is not null") if stand_in is None else items.fillna({"item_id": stand_in})
     windows = materialise(spark, items.mapInArrow(_cut(size), "item long, hi long, lo long, length long, tokens array<long>"))
     blocks = max(1, -(-windows.count() // block_windows))
     texts = docs.select("text")
@@ -264,9 +267,18 @@ def find_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
         names = carry if last else columns
         state = [] if last else [T.StructField("_marks", T.BinaryType())]
         out = out.mapInArrow(_probe(index, columns, carry if last else None, k > 0), T.StructType([*(kinds[c] for c in columns if c in names), *state, *found]))
+    if stand_in is not None:
+        out = out.withColumn("_items", F.transform("_items", lambda x: F.nullif(x, F.lit(stand_in))))
     return out
 
 
+def _unused_id(items: DataFrame) -> int | None:
+    """An id that no item has, to stand for the null id; None if no id is null."""
+    if items.filter("item_id is null").isEmpty():
+        return None
+    return next(k for k in range(-(1 << 63), 1 << 63) if items.filter(F.col("item_id") == F.lit(k)).isEmpty())
+
+
 def contaminated() -> F.Column:
     """At least one word in twenty is hit, and one at least."""
     return (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words"))

@@ -30,7 +30,7 @@ def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of documents with benchmark items: 13-word windows, contaminated from one word in twenty."""
     docs, items = (table(configure(spark), sf_dir, t) for t in ("documents", "benchmark"))
-    found = decontaminate.find_overlap(spark, docs.select("doc_id", "text"), items, 13, carry=["doc_id"])
+    found = decontaminate.find_overlap(spark, docs.select("doc_id", "text"), items, 13, carry=["doc_id"], nameless=True)
     names = F.concat_ws(",", F.array_sort(F.transform("_items", lambda x: x.cast("string"))))
     return found.select(
         "doc_id",

@@ -38,6 +38,25 @@ def test_equals_brute_force(spark, block_windows):
     assert sorted(((r.doc_id, r._n_words, r._n_hit, r._items) for r in out.collect()), key=order) == want
 
 
+def test_items_without_id_hit_words_as_in_the_oracle(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    docs = [(1, "a b c x y"), (2, "only p q r here"), (3, "a b c then p q r"), (4, "nothing"), (5, None)]
+    frame(spark, docs, clashes=False).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(None, "p q r"), (None, "here"), (7, "a b c"), (-(1 << 63), "then p"), (8, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        found = db.execute(queries.oracle_sql()["op3_prefix_filter_decontamination"])
+        names = [c[0] for c in found.description]
+        want = sorted(found.fetchall())
+    got = sorted(tuple(r[c] for c in names) for r in queries.op3_prefix_filter_decontamination(spark, str(tmp_path)).collect())
+    assert got == want and {r[0]: r[2] for r in got} == {1: 3, 2: 4, 3: 7, 4: 0, 5: 0}
+
+
 @pytest.mark.parametrize("empty", ["documents", "benchmark"])
 def test_empty(spark, empty):
     docs = frame(spark, [] if empty == "documents" else [(1, "a b c")], clashes=False)
