@@ -9,10 +9,11 @@ Stages, each linear in the rows but for the last:
 3. *Forest*: the signature is put in ``TREES`` sorted orders, each led by
    ``depth`` columns of its own.  Rows are range-partitioned on (order, values,
    id); the id makes keys distinct, so a region of equal values that holds a
-   third of all rows is still dealt to many tasks.  Neighbours whose common
-   prefix spans the leading columns are joined by an edge; within such a region
-   the order goes on through deeper columns, so the depth adapts to the region.
-   A region of n rows gives n - 1 edges, never its pairs.
+   third of all rows is still dealt to many tasks.  Neighbours of equal leading
+   values are joined by an edge, so the edges are those of LSH bands of one fixed
+   depth: deeper columns only order the rows of such a region.  They don't split
+   it, as pairs that differ in a deeper column would be lost beyond the stated
+   rate.  A region of n rows gives n - 1 edges, never its pairs.
 4. *Families*: connected components of those edges.  Every two documents that
    share a region of any order are in one family.
 5. *Confirmation*: members of a family meet with their full shingle sets, in
@@ -53,7 +54,7 @@ def _minhash_multipliers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree_columns(depth: int) -> np.ndarray:
-    """Columns that lead each sorted order, and eight deeper ones."""
+    """Columns that lead each sorted order, and four deeper ones."""
     rng = np.random.default_rng(77)
     return np.stack([rng.permutation(VALUES)[: depth + 4] for _ in range(TREES)])
 
@@ -185,7 +186,7 @@ def _edge_batch(key, a, b, part) -> pa.RecordBatch:
 
 
 def forest_edges(spark: SparkSession, reps: DataFrame, depth: int) -> DataFrame:
-    """Distinct edges (a, b), a < b, between longest-common-prefix neighbours."""
+    """Distinct edges (a, b), a < b, between sorted neighbours of equal leading values."""
     rows = reps.select("node", "sig").mapInArrow(_plant(depth), "key long, deeper long, node long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     ordered = rows.repartitionByRange(parts, "key", "deeper", "node").sortWithinPartitions("key", "deeper", "node")
