@@ -29,25 +29,36 @@ def _without(text: Column, characters: str) -> Column:
 def measure(docs: DataFrame, host: str) -> DataFrame:
     """doc_id, _host and the measures of each row's whole text.
 
+    A window is known by a hash of 64 bits, made in three steps from the hashes of its
+    words, each a pass over an array of numbers; windows are only compared inside one
+    text, so a text of a million words counts a false repeat once in 10^7 such texts.
     The arrays a later step needs twice are columns of their own, so that no lambda
     evaluates an array anew for each of its elements."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", F.col(host).alias("_host"), text.alias("text"))
-    split = base.withColumns({"words": F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), ""), "lines": F.expr(r"filter(split(text, '\n', -1), x -> trim(BOTH ' \t\n\u000b\f\r' FROM x) <> '')")})
-    n = F.size("words")
-    windows = F.when(n >= WINDOW, F.expr(f"transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW})))"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    split = base.withColumns({"words": F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), ""), "lines": lines})
     counted = split.select(
         "doc_id",
         "_host",
-        n.cast("long").alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.octet_length("text") - F.octet_length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
+        F.when(F.size("words") >= WINDOW, F.transform("words", lambda w: F.xxhash64(w))).alias("one"),
     )
+
+    def joined(a: str, b: str, step: int) -> Column:
+        """Hashes of the runs that ``a`` and, ``step`` words later, ``b`` stand for."""
+        both = F.size(b) - step
+        return F.zip_with(F.slice(a, F.lit(1), both), F.slice(b, F.lit(step + 1), both), lambda x, y: F.xxhash64(x, y))
+
+    two = counted.withColumn("two", joined("one", "one", 1))
+    four = two.withColumn("four", joined("two", "two", 2))
+    windows = four.withColumn("windows", joined("four", "one", WINDOW - 1)).drop("one", "two", "four")
     repeats = F.size("windows") > F.size(F.array_distinct("windows"))
-    placed = counted.withColumn("placed", F.when(repeats, F.sort_array(F.expr("transform(windows, (h, i) -> struct(h, i))")))).drop("windows")
+    placed = windows.withColumn("placed", F.when(repeats, F.sort_array(F.expr("transform(windows, (h, i) -> struct(h, i))")))).drop("windows")
     twins = F.expr("zip_with(slice(placed, 1, size(placed) - 1), slice(placed, 2, size(placed) - 1), (a, b) -> if(a.h = b.h, array(a.i, b.i), array()))")
     at = placed.withColumn("at", F.when(F.col("placed").isNotNull(), F.sort_array(F.array_distinct(F.flatten(twins))))).drop("placed")
     steps = F.expr(f"aggregate(zip_with(slice(at, 1, size(at) - 1), slice(at, 2, size(at) - 1), (a, b) -> least({WINDOW}, b - a)), 0, (s, x) -> s + x)")
@@ -76,13 +87,12 @@ def host_rates(measured: DataFrame) -> DataFrame:
     sums = [F.sum(failed.cast("long")).alias(f"k_{name}") for name, failed in rules().items()]
     hosts = measured.filter("_host is not null").groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *sums)
     mean = {x: F.sum(f"k_{x}") / F.sum("n") for x in names}
-    total = hosts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), *(mean[x].alias(f"m_{x}") for x in names))
-    spread = [F.sum(F.col("n") * F.pow(F.col(f"k_{x}") / F.col("n") - F.col(f"m_{x}"), 2)).alias(f"v_{x}") for x in names]
-    one = hosts.join(F.broadcast(total.drop("n")), how="cross").agg(*spread)  # a row of totals to each host
-    prior = total.join(F.broadcast(one), how="cross").first()  # one row
+    total = hosts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), *(mean[x].alias(f"m_{x}") for x in names)).first()
+    spread = [F.sum(F.col("n") * F.pow(F.col(f"k_{x}") / F.col("n") - F.lit(total[f"m_{x}"] or 0.0), 2)).alias(f"v_{x}") for x in names]
+    prior = total.asDict() | hosts.agg(*spread).first().asDict()  # one row each
     shrunk = []
     for x in names:
-        m, n, groups = (prior[c] if prior and prior[c] is not None else 0.0 for c in (f"m_{x}", "n", "hosts"))
+        m, n, groups = (prior[c] or 0.0 for c in (f"m_{x}", "n", "hosts"))
         between = (prior[f"v_{x}"] / n - m * (1 - m) * groups / n) if n else 0.0
         size = min(max(m * (1 - m) / between - 1, 1.0), 1e6) if between > 0 else 1e6
         shrunk.append(((F.col(f"k_{x}") + m * size) / (F.col("n") + size)).alias(f"rate_{x}"))

@@ -16,7 +16,7 @@ def brute(text):
 
 
 def test_measures_equal_brute_force(spark):
-    rows = [*corpus(), (300, "a b c d e " * 9), (301, "x|y <b> & 5% $1 #t **"), (302, "la la la la la la la la la la la"), (303, "q\nq\n q\nq\n\n\nr")]
+    rows = [*corpus(), (300, "a b c d e " * 9), (301, "x|y <b> & 5% $1 #t **"), (302, "la la la la la la la la la la la"), (303, "q\nq\n q\nq\n\n\nr"), (304, "fff\nfff\nabc f\nf\nf"), (305, "a\n\f\n\f\nb\n\v\n\v\n\r\n\r"), (306, "a b c d"), (307, "a b c d e"), (308, "a a a a a a")]
     out = host_rules.judge(spark, frame(spark, rows)).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
