@@ -41,6 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df``, dealt evenly over the cores where its scan has fewer partitions than there are cores (one small file);
+    a scan of many partitions is left as it is, so large inputs never pay for this exchange."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that Python tasks can
     import it whatever their working folder is."""
