@@ -196,7 +196,7 @@ def occurrences(words: Words, index: Index, sieve: tk.Sieve) -> tuple[np.ndarray
     return start, window
 
 
-def _probe(shared, columns: list[str], carried: list[str] | None, later: bool):
+def _probe(shared, size: int, columns: list[str], carried: list[str] | None, later: bool):
     text_at = columns.index("text")
 
     def run(batches):
@@ -221,6 +221,9 @@ def _probe(shared, columns: list[str], carried: list[str] | None, later: bool):
                         a, b = words.first[r], words.first[r + 1]
                         hit[a:b] |= np.unpackbits(np.frombuffer(old_marks[r], np.uint8), count=b - a).astype(bool)
                         items[r] = np.unique(np.concatenate([items[r], np.array(old_items[r], dtype=np.int64)]).astype(np.int64))
+                n_windows = np.bincount(words.row[start[index.length[window] == size]], minlength=chunk.rows)
+                if later:
+                    n_windows = n_windows + batch.column(len(columns) + 4).slice(chunk.first, chunk.rows).to_numpy()
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[words.first[1:]] - total[words.first[:-1]]
                 rows = [c.slice(chunk.first, chunk.rows) for c in batch.columns[: len(columns)]]
@@ -229,8 +232,8 @@ def _probe(shared, columns: list[str], carried: list[str] | None, later: bool):
                     state = [pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary())]
                 out = [c for c, name in zip(rows, columns, strict=True) if carried is None or name in carried]
                 names = [name for name in columns if carried is None or name in carried]
-                found = [pa.array(items, pa.list_(pa.int64())), pa.array(np.diff(words.first)), pa.array(n_hit)]
-                yield pa.RecordBatch.from_arrays([*out, *state, *found], names=[*names, *["_marks"] * len(state), "_items", "_n_words", "_n_hit"])
+                found = [pa.array(items, pa.list_(pa.int64())), pa.array(np.diff(words.first)), pa.array(n_hit), pa.array(n_windows, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, *state, *found], names=[*names, *["_marks"] * len(state), "_items", "_n_words", "_n_hit", "_n_windows"])
 
     return run
 
@@ -243,8 +246,9 @@ def find_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     item, or a shorter item's whole sequence.
 
     Returns the columns ``carry`` of docs (all by default) and _items (distinct
-    item ids, ascending), _n_words and _n_hit.  Null and empty texts have no
-    words.  Items without words are ignored; items that repeat an id count as one.
+    item ids, ascending), _n_words, _n_hit and _n_windows (places where a window of
+    the whole ``size`` stands).  Null and empty texts have no words.  Texts of any
+    length are read whole; repeated rows are searched as often as they stand there.  Items without words are ignored; items that repeat an id count as one.
     Items without item_id are ignored, or with ``nameless`` hit words as others do
     and stand in _items as one null.  An empty benchmark hits nothing.
     """
@@ -258,7 +262,7 @@ def find_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     blocks = max(1, -(-windows.count() // block_windows))
     texts = docs.select("text")
     kinds = {f.name: f for f in docs.schema.fields}
-    found = [T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType())]
+    found = [T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_n_windows", T.LongType())]
     out = docs
     for k in range(blocks):
         block = windows.filter(F.expr(f"pmod(hi, {blocks}L)") == k).toArrow()
@@ -266,7 +270,7 @@ def find_overlap(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
         last = k == blocks - 1
         names = carry if last else columns
         state = [] if last else [T.StructField("_marks", T.BinaryType())]
-        out = out.mapInArrow(_probe(index, columns, carry if last else None, k > 0), T.StructType([*(kinds[c] for c in columns if c in names), *state, *found]))
+        out = out.mapInArrow(_probe(index, size, columns, carry if last else None, k > 0), T.StructType([*(kinds[c] for c in columns if c in names), *state, *found]))
     if stand_in is not None:
         out = out.withColumn("_items", F.transform("_items", lambda x: F.nullif(x, F.lit(stand_in))))
     return out
@@ -279,6 +283,12 @@ def _unused_id(items: DataFrame) -> int | None:
     return next(k for k in range(-(1 << 63), 1 << 63) if items.filter(F.col("item_id") == F.lit(k)).isEmpty())
 
 
+def leaked() -> F.Column:
+    """A window of the whole size stands in the text, or, for items shorter than a window, one word in
+    twenty is hit: in long texts, too, a passage is a leak, but a few words alone are none."""
+    return (F.col("_n_windows") > 0) | contaminated()
+
+
 def contaminated() -> F.Column:
     """At least one word in twenty is hit, and one at least."""
     return (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words"))

@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, host_rules, line_dedup, near_dup, resample, secrets, tier_pack, token_pack, toxicity_pu, wrapper
-from tessera.runtime import configure, table
+from tessera.runtime import configure, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(spark, table(configure(spark), sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight of every document against the texts labelled good, and a sample as large as their share."""
     labels = table(configure(spark), sf_dir, "labels")
-    return resample.resample(spark, table(spark, sf_dir, "documents"), labels.filter("quality = 1").select("doc_id"), resample.good_share(labels))
+    return resample.resample(spark, _documents(spark, sf_dir), labels.filter("quality = 1").select("doc_id"), resample.good_share(labels))
 
 
 def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels outside the held-out fold."""
-    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     model = toxicity_pu.train_from_labels(spark, docs, table(spark, sf_dir, "labels"))
     scored = toxicity_pu.score(spark, docs, model, carry=["doc_id"])
     return scored.select("doc_id", toxicity_pu.held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= toxicity_pu.THRESHOLD).cast("int").alias("predicted"))
@@ -29,8 +33,8 @@ def op2_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of documents with benchmark items: 13-word windows, contaminated from one word in twenty."""
-    docs, items = (table(configure(spark), sf_dir, t) for t in ("documents", "benchmark"))
-    found = decontaminate.find_overlap(spark, docs.select("doc_id", "text"), items, 13, carry=["doc_id"], nameless=True)
+    docs, items = _documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find_overlap(spark, docs, items, 13, carry=["doc_id"], nameless=True)
     names = F.concat_ws(",", F.array_sort(F.transform("_items", lambda x: x.cast("string"))))
     return found.select(
         "doc_id",
@@ -44,29 +48,29 @@ def op3_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 
 def op4_randomness_battery_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base patterns, and tokens that pass the randomness tests."""
-    return secrets.report(secrets.scan(configure(spark), table(spark, sf_dir, "documents")))
+    return secrets.report(secrets.scan(configure(spark), _documents(spark, sf_dir)))
 
 
 def op5_lsh_forest_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents: 3-word shingles, similarity 0.85."""
-    return near_dup.near_duplicates(configure(spark), table(spark, sf_dir, "documents"), 3, 85, 100)
+    return near_dup.near_duplicates(spark, _documents(spark, sf_dir), 3, 85, 100)
 
 
 def op6_wrapper_induction_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    done = wrapper.extract(configure(spark), table(spark, sf_dir, "pages"))
+    done = wrapper.extract(spark, spread(spark, table(configure(spark), sf_dir, "pages").select("page_id", "url", "html")))
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures of every document, and verdicts by document and by host (source)."""
-    judged = host_rules.judge(configure(spark), table(spark, sf_dir, "documents"))
+    judged = host_rules.judge(spark, _documents(spark, sf_dir, "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines dropped: keys of 20 code points or more in 3 documents or more."""
-    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     done = line_dedup.dedup_lines(spark, docs, 20, 3)
     digest = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), digest)
@@ -74,12 +78,12 @@ def op8_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id matrix of all documents: rows of 4096 ids."""
-    return token_pack.pack_matrices(configure(spark), table(spark, sf_dir, "documents"))
+    return token_pack.pack_matrices(spark, _documents(spark, sf_dir))
 
 
 def op10_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids, none padded."""
-    packed = tier_pack.pack_tiers(configure(spark), table(spark, sf_dir, "documents"))
+    packed = tier_pack.pack_tiers(spark, _documents(spark, sf_dir))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 

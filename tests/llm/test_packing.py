@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,7 +18,6 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
     return lambda text: known.encode(text or "", add_special_tokens=False).ids
 
 
@@ -80,22 +80,18 @@ def test_room_tree_finds_the_least_room(steps):
 def test_ids_are_those_of_the_tokenizers_library(reference_ids):
     import random
 
-    rng, known = random.Random(1), tokens.encoder()
+    rng = random.Random(1)
     pieces = [*"abcXYZ 0189\n\t\r '’\"!#|é ßñ中文字한글😀\u2003\xa0\u200b\u0301\x00\x1c\x85٣½Ⅷ²", "'s", "'ll", " 's", "<|endoftext|>", "  ", "\n\n"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(600)] + ["a" * 3000, " " * 3000, "é" * 2000]
-    assert all(known.encode_ordinary(t) == reference_ids(t) for t in texts)
+    assert [ids.tolist() for ids in tokens.encode(pa.array(texts), 7)] == [[*reference_ids(t), 7] for t in texts]
 
 
-def test_added_tokens_are_those_of_the_tokenizers_library_by_default(spark):
+def test_added_tokens_are_those_of_the_tokenizers_library_by_default(spark, reference_ids):
     import random
 
-    import pyarrow as pa
-    from tokenizers import Tokenizer
-
-    known = Tokenizer.from_file(tokens.vocabulary_path("byte_bpe_50k.json"))
     rng, pieces = random.Random(2), ["<|endoftext|>", "<|endoftext|", "<|", "|>", " ", "\n", "a", "'s", "é", "0"]
     texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 20))) for _ in range(400))]
-    want = [[*known.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    want = [[*reference_ids(t), 7] for t in texts]
     assert want[0] == [64, 220, 50256, 275, 7]
     assert [ids.tolist() for ids in tokens.encode(pa.array(texts), 7)] == want
     rows = frame(spark, list(enumerate(texts[:40])))
@@ -116,7 +112,7 @@ def _texts(rows):
 
 
 def test_packed_pieces_give_back_the_documents(spark, reference_ids):
-    rows = corpus()
+    rows = [*corpus(), (500, "a <|endoftext|> b<|endoftext|>")]
     out = tier_pack.pack_tiers(spark, frame(spark, rows), group_ids=20_000).collect()
     want = sorted((i is None, i or 0, tuple([*reference_ids(t), 1])) for i, t in rows)
     sequences, docs = defaultdict(list), defaultdict(list)
@@ -143,7 +139,7 @@ def test_packed_pieces_give_back_the_documents(spark, reference_ids):
 
 
 def test_matrices_give_back_the_documents(spark, reference_ids):
-    rows = [(i, t) for i, t in corpus() if i is not None and i != 202]
+    rows = [*((i, t) for i, t in corpus() if i is not None and i != 202), (500, "<|endoftext|>x")]
     packed = token_pack.pack_matrices(spark, frame(spark, rows), context=1024, group_ids=20_000)
     docs = defaultdict(list)
     for r in token_pack.segments(packed).collect():
