@@ -154,12 +154,15 @@ def test_matrices_give_back_the_documents(spark, reference_ids):
             assert (positions[a:b] == np.arange(b - a)).all()
 
 
-def test_query_digest(spark, tmp_path):
+def test_query_digest(spark, tmp_path, reference_ids):
     from tessera.llm import queries
 
-    frame(spark, corpus()[:8], clashes=False).write.parquet(str(tmp_path / "documents.parquet"))
-    ids = {(r.doc_id, r.start): zlib.crc32(bytes(r.ids)) for r in tier_pack.pack_tiers(spark, spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
-    assert {(r.doc_id, r.start): r.ids_crc32 for r in queries.op10_tiered_packing(spark, str(tmp_path)).collect()} == ids
+    rows = [*corpus()[:8], (500, "a <|endoftext|> b")]
+    frame(spark, rows, clashes=False).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {i: np.array([*reference_ids(t), 1], "<u4") for i, t in rows}
+    out = queries.op10_tiered_packing(spark, str(tmp_path)).collect()
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id]) for r in out)
+    assert sum(r.length for r in out) == sum(map(len, ids.values()))
 
 
 def test_written_matrices_read_back(spark, tmp_path):
