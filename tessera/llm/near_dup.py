@@ -1,27 +1,34 @@
 """Near-duplicate components by an LSH forest over minhash signatures.
 
-Stages, each linear in the rows but for the last:
+Stages, each linear in the rows but for what stage 6 has to finish:
 
 1. *Signatures*: one pass over the texts gives each document the size of its set
    of word shingles, a 128-bit identity of the set and 128 minhash values.
 2. *Classes*: documents of equal sets collapse to one representative, the
    smallest doc_id, by partial aggregation; a class of any size is one row.
 3. *Forest*: the signature is put in ``TREES`` sorted orders, each led by
-   ``depth`` columns of its own.  Rows are range-partitioned on (order, values,
-   id); the id makes keys distinct, so a region of equal values that holds a
-   third of all rows is still dealt to many tasks.  Neighbours of equal leading
-   values are joined by an edge, so the edges are those of LSH bands of one fixed
-   depth: deeper columns only order the rows of such a region.  They don't split
-   it, as pairs that differ in a deeper column would be lost beyond the stated
-   rate.  A region of n rows gives n - 1 edges, never its pairs.
-4. *Families*: connected components of those edges.  Every two documents that
-   share a region of any order are in one family.
-5. *Confirmation*: members of a family meet with their full shingle sets, in
-   blocks of bounded size (members and shingles) and pairs of blocks.  Pairs are screened by size and by
-   signature (six standard errors below the threshold), then confirmed on the
-   full sets; a pair already known to be connected is skipped.  Each pair of
-   blocks returns a spanning forest of links.
-6. Components of the confirmed links, joined back to all rows.
+   ``depth`` columns of its own.  Rows are range-partitioned on (order, leading
+   values, id); the id makes keys distinct, so a region of equal values that holds a
+   third of all rows is still dealt to many tasks.  Sorted neighbours with a common prefix
+   of the base depth or more are joined by an edge; a region of n rows gives n - 1 edges,
+   never its pairs.  Connected components of the edges are families: every two
+   documents that share a prefix of base depth in any order are in one.
+4. *Sparse regions*: a family of at most ``BLOCK`` members stays at the base depth;
+   its members meet with their full shingle sets in one group.
+5. *Dense regions* go deeper: the members of a larger family are sorted by ``PASSES``
+   whole orders of ``DEEP`` values, and the sorted rows are cut into blocks of at most
+   ``BLOCK`` where neighbours have the shortest common prefix, so each block is as
+   deep as its density asks.  Members of a block, the neighbours of longest common
+   prefixes, are confirmed with each other.  The rows are range-partitioned and
+   read as a stream, so a family of any size is dealt to many tasks.
+6. *The exact rest*: near copies are connected by now.  Where a dense family still has several
+   components, members of different ones are compared, in blocks by size class and component,
+   leaving out pairs of blocks inside one component and of sizes too far apart to link.
+7. Components of the confirmed links, joined back to all rows.
+
+Pairs are screened by size and by signature (six standard errors below the
+threshold), then confirmed on the full sets; a pair already known to be connected
+is skipped, so a group returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -32,16 +39,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as tk
-from tessera.runtime import materialise, ship
+from tessera.runtime import join_small, materialise, ship
 
 #: minhash values of a signature
 VALUES = 128
 #: sorted orders
 TREES = 64
-#: members of a block of a family that are compared in one task
-BLOCK = 1024
+#: members of a family, or of a block of it, that are compared in one task
+BLOCK = 256
 #: shingles of a block, on average: the sets of two blocks are in memory together
 BLOCK_SHINGLES = 1 << 22
+#: whole orders in which a dense family is sorted, and the values of such an order
+PASSES, DEEP = 4, 24
 #: bits of the filter that keeps unrelated documents out of the shuffle of sets
 FILTER_BITS = 1 << 22
 
@@ -54,9 +63,9 @@ def _minhash_multipliers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree_columns(depth: int) -> np.ndarray:
-    """Columns that lead each sorted order, and four deeper ones."""
+    """Columns that lead each sorted order."""
     rng = np.random.default_rng(77)
-    return np.stack([rng.permutation(VALUES)[: depth + 4] for _ in range(TREES)])
+    return np.stack([rng.permutation(VALUES)[:depth] for _ in range(TREES)])
 
 
 def shingle_sets(chunk: tk.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +142,7 @@ def _sign(size: int):
 
 
 def _plant(depth: int):
-    """Rows (key, deeper, node) of each sorted order: key stands for the order and
-    its leading values, deeper for the values after them."""
+    """Rows (key, node) of each sorted order: key stands for the order and its leading values."""
 
     def run(batches):
         columns = tree_columns(depth)
@@ -143,10 +151,9 @@ def _plant(depth: int):
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(-1, VALUES).astype(np.uint64)
             for tree, cols in enumerate(columns):
                 key = np.full(len(sig), tree + 1, dtype=np.uint64)
-                for c in cols[:depth]:
+                for c in cols:
                     key = tk.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + sig[:, c])
-                deeper = (sig[:, cols[depth]] << np.uint64(32)) | sig[:, cols[depth + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(deeper.view(np.int64)), pa.array(nodes)], names=["key", "deeper", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
     return run
 
@@ -159,7 +166,7 @@ def _neighbours(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if last is None:
             yield _edge_batch([key[0]], [node[0]], [-1], part)
         else:
@@ -187,9 +194,9 @@ def _edge_batch(key, a, b, part) -> pa.RecordBatch:
 
 def forest_edges(spark: SparkSession, reps: DataFrame, depth: int) -> DataFrame:
     """Distinct edges (a, b), a < b, between sorted neighbours of equal leading values."""
-    rows = reps.select("node", "sig").mapInArrow(_plant(depth), "key long, deeper long, node long")
+    rows = reps.select("node", "sig").mapInArrow(_plant(depth), "key long, node long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    ordered = rows.repartitionByRange(parts, "key", "deeper", "node").sortWithinPartitions("key", "deeper", "node")
+    ordered = rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
     found = materialise(spark, ordered.mapInArrow(_neighbours, "key long, a long, b long, part long"))
     inner = found.filter("part < 0").select("a", "b")
     # Border rows: two a partition.  A region that spans partitions has the last row of one and
@@ -277,23 +284,28 @@ class _Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def links_of(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def links_of(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets: pairs with den * |intersection| >= num * |union|.
 
-    With two sides only pairs across them are asked for.  Pairs are taken by
-    falling signature agreement, so that most are connected before they are due.
+    With two sides only pairs across them are asked for; rows of equal ``known`` are
+    connected already.  Pairs are taken by falling signature agreement, so that most
+    are connected before they are due.
     """
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     ratio = num / den
     floor = VALUES * (ratio - 6 * np.sqrt(ratio * (1 - ratio) / VALUES))
     forest, found = _Forest(len(sets)), []
+    if known is not None:
+        _, first, group = np.unique(known, return_index=True, return_inverse=True)
+        forest.up = first[group].tolist()
     left, right, agree = [], [], []
     sizes = size[order]
     for k, i in enumerate(order[:-1]):
         to = np.searchsorted(sizes, sizes[k] * den // num, side="right")
         js = order[k + 1 : to]
         js = js[(side[js] != side[i])] if side.any() else js
+        js = js[known[js] != known[i]] if known is not None else js
         if len(js):
             same = (sig[js] == sig[i]).sum(axis=1)
             good = same >= floor
@@ -314,23 +326,122 @@ def links_of(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, num: int
     return found
 
 
+def _link_table(nodes: np.ndarray, pairs: list[tuple[int, int]]) -> dict[str, pa.Array]:
+    return {c: pa.array([int(nodes[p[k]]) for p in pairs], pa.int64()) for k, c in enumerate("ab")}
+
+
 def _confirm(num: int, den: int):
+    """Links of one group of rows (node, sig, shingles); where they have block and comp, across the two blocks and different comps."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        nodes = table["node"].to_numpy()
-        _, at = np.unique(nodes, return_index=True)
-        raw = table["shingles"].to_pylist()
-        sets = [np.frombuffer(raw[i], dtype=np.uint64) for i in at]
-        sig = np.frombuffer(b"".join(table["sig"].take(pa.array(at)).to_pylist()), dtype=">u4").reshape(-1, VALUES)
-        block, nodes = table["block"].to_numpy()[at], nodes[at]
-        one, two = table["low"][0].as_py(), table["high"][0].as_py()
-        side = (block == two) & (one != two)
-        pairs = links_of(sets, np.ascontiguousarray(sig, dtype=np.uint32), side, num, den)
-        return pa.table({"a": pa.array([int(nodes[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(nodes[j]) for _, j in pairs], pa.int64())})
+        nodes, at = np.unique(table["node"].to_numpy(), return_index=True)
+        raw = table["shingles"].take(pa.array(at)).to_pylist()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+        sig = np.frombuffer(b"".join(table["sig"].take(pa.array(at)).to_pylist()), dtype=">u4").reshape(-1, VALUES).astype(np.uint32)
+        side, known = np.zeros(len(at), dtype=bool), None
+        if "block" in table.column_names:
+            known = table["comp"].to_numpy()[at]
+            if table["low"][0] != table["high"][0]:
+                side = table["block"].to_numpy()[at] == table["high"][0].as_py()
+        return pa.table(_link_table(nodes, links_of(sets, sig, side, num, den, known)))
 
     return run
 
 
+def _whole_orders(batches):
+    """Each row once for each pass, with the values of that order as sortable bytes."""
+    columns = np.stack([np.random.default_rng(78 + k).permutation(VALUES)[:DEEP] for k in range(PASSES)])
+    for batch in batches:
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=">u4").reshape(-1, VALUES)
+        for k, cols in enumerate(columns):
+            prefix = pa.array([row.tobytes() for row in np.ascontiguousarray(sig[:, cols])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(sig), k, np.int32)), prefix, *batch.columns[1:]], names=["label", "pass", "prefix", "node", "sig", "shingles"])
+
+
+def common_prefix(values: np.ndarray) -> np.ndarray:
+    """Of each row and the next one the number of equal leading values."""
+    differ = values[1:] != values[:-1]
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), values.shape[1])
+
+
+def _deep_blocks(num: int, den: int, block: int, block_shingles: int):
+    """Links inside blocks of rows sorted by (label, pass, prefix).
+
+    Rows of one family and pass are held until they exceed a block, which then ends where the
+    neighbours in its second half have the shortest common prefix."""
+
+    def links(rows):
+        nodes = np.array([r[0] for r in rows], dtype=np.int64)
+        sig = np.stack([np.frombuffer(r[2], dtype=">u4") for r in rows]).astype(np.uint32)
+        sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+        found = _link_table(nodes, links_of(sets, sig, np.zeros(len(rows), dtype=bool), num, den))
+        return pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
+
+    def run(batches):
+        held, group, shingles = [], None, 0
+        for batch in batches:
+            for label, pass_, prefix, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (label, pass_) != group:
+                    yield links(held)
+                    held, shingles = [], 0
+                elif len(held) > 1 and (len(held) >= block or shingles + len(row[2]) // 8 > block_shingles):
+                    shared = common_prefix(np.stack([np.frombuffer(r[1], dtype=">u4") for r in held]))
+                    half = len(shared) // 2
+                    cut = half + int(len(shared) - half - 1 - np.argmin(shared[half:][::-1])) + 1
+                    yield links(held[:cut])
+                    held = held[cut:]
+                    shingles = sum(len(r[3]) // 8 for r in held)
+                group = label, pass_
+                held.append((row[0], prefix, row[1], row[2]))
+                shingles += len(row[2]) // 8
+        if held:
+            yield links(held)
+
+    return run
+
+
+def _deep_links(spark: SparkSession, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among longest-common-prefix neighbours of dense families: members (label, node, sig, shingles)."""
+    rows = members.select("label", "node", "sig", "shingles").mapInArrow(_whole_orders, "label long, pass int, prefix binary, node long, sig binary, shingles binary")
+    order = ("label", "pass", "prefix", "node")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_deep_blocks(num, den, BLOCK, BLOCK_SHINGLES), "a long, b long")
+
+
+def _rest_links(spark: SparkSession, members: DataFrame, merged: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links between different components of one dense family; None where each family is one component.
+
+    A link's sets differ in size by den / num at most, so they are in one size class or in
+    neighbouring ones.  Blocks hold rows of one class, and either of one large component or of small ones."""
+    placed = members.select("node", "label", "n_shingles").join(merged.select("node", F.col("label").alias("comp")), "node", "left")
+    placed = materialise(spark, placed.withColumn("comp", F.coalesce("comp", "node")))
+    held = placed.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("held"))
+    open_ = held.groupBy("label").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("label")
+    if open_.isEmpty():
+        return None
+    step = float(np.log(den / num) * (1 + 1e-9))
+    rows = placed.join(open_, "label").join(held.select("comp", "held"), "comp")
+    rows = rows.select("node", "label", "comp", "n_shingles", F.floor(F.log("n_shingles") / step).alias("class"), F.when(F.col("held") > BLOCK, F.col("comp")).alias("large"))
+    keys = ["label", "class", "large"]
+    full = rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    full = full.withColumns({"of": F.xxhash64(*keys), "known": F.col("large").isNotNull()})
+    rows = rows.withColumn("of", F.xxhash64(*keys)).join(full.select("of", "parts"), "of")
+    rows = rows.select("node", "comp", F.xxhash64("of", F.expr("pmod(xxhash64(node, 11), parts)")).alias("block"))
+    blocks = full.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("label", "class", "large", F.xxhash64("of", "part").alias("block"))
+    one, other = (blocks.select("label", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "large", "block"))) for k in "ab")
+    apart = F.col("large_a").isNull() | ~F.col("large_a").eqNullSafe(F.col("large_b"))
+    near = (F.col("class_b") == F.col("class_a") + 1) | ((F.col("class_a") == F.col("class_b")) & (F.col("block_a") <= F.col("block_b")))
+    pairs = one.join(other, "label").filter(apart & near).select(F.col("block_a").alias("low"), F.col("block_b").alias("high"))
+    sides = materialise(spark, pairs).select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    met = rows.join(sides, "block").join(members.select("node", "sig", "shingles"), "node")
+    return met.groupBy("low", "high").applyInArrow(_confirm(num, den), "a long, b long")
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, depth: int | None = None) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of num / den or more.
 
@@ -354,19 +465,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: in
     reps = materialise(spark, reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig"))
 
     families = components(spark, forest_edges(spark, reps, depth))
-    sized = families.join(reps.select("node", "n_shingles"), "node")
-    sizes = sized.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    placed = families.join(sizes, "label").select("node", "label", blocks.alias("blocks"))
-    placed = placed.withColumn("block", F.expr("pmod(xxhash64(node, 11), blocks)"))
-
+    members = families.join(reps, "node")
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    dense = materialise(spark, sizes.filter((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES)).select("label", F.lit(True).alias("dense")))
     wanted = maybe_in(texts, materialise(spark, id_filter(families)))
     sets = wanted.mapInArrow(_sets(size), "node long, shingles binary")
-    members = placed.join(sets, "node").join(reps.select("node", "sig"), "node")
-    paired = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    paired = paired.select("node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "shingles", "sig")
-    links = paired.groupBy("label", "low", "high").applyInArrow(_confirm(num, den), "a long, b long")
-    merged = components(spark, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    members = join_small(members.join(sets, "node"), dense, "label")
+    if dense.isEmpty():
+        merged = components(spark, _ordered(members.drop("dense").groupBy("label").applyInArrow(_confirm(num, den), "a long, b long")))
+    else:
+        members = materialise(spark, members)
+        deep = materialise(spark, members.filter("dense").dropDuplicates(["node"]))
+        sparse = members.filter("dense is null").drop("dense").groupBy("label").applyInArrow(_confirm(num, den), "a long, b long")
+        links = materialise(spark, _ordered(sparse.union(_deep_links(spark, deep, num, den))))
+        merged = components(spark, links)
+        if (rest := _rest_links(spark, deep, merged, num, den)) is not None:
+            merged = components(spark, links.union(_ordered(rest)))
 
     named = classes.join(merged, "node", "left").select("set_hi", "set_lo", F.coalesce("label", "node").alias("component_id"))
     linked = signed.join(named, ["set_hi", "set_lo"], "left")
@@ -376,7 +490,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: in
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document of the smallest
-    doc_id stays, once.  Rows without words and rows without doc_id all stay.
+    doc_id stays, once; of rows that repeat it, one with words and the least text.  Rows of other
+    ids without words and rows without doc_id all stay.
 
     Only rows whose id may be among those to drop are shuffled; a filter of fixed
     size lets the others pass where they are read.
@@ -388,5 +503,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, nu
     passed, asked = maybe_in(docs, bitmap, False), maybe_in(docs, bitmap)
     joined = asked.join(odd, asked["doc_id"] == odd["node"], "left")
     free = joined.filter("node is null").select(*(asked[c] for c in docs.columns))
-    single = joined.filter("node is not null and kept").select(*(asked[c] for c in docs.columns)).dropDuplicates(["doc_id"])
+    held = joined.filter("node is not null and kept").select(*(asked[c] for c in docs.columns))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    least = F.min_by(F.struct(*docs.columns), F.struct(~worded, "text"))
+    single = held.groupBy(F.col("doc_id").alias("_id")).agg(least.alias("_row")).select("_row.*")
     return passed.union(free).union(single)

@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import near_dup
@@ -44,14 +46,49 @@ def test_components_equal_brute_force(spark, size, num):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
-@pytest.mark.parametrize(("limit", "size"), [("BLOCK", 4), ("BLOCK_SHINGLES", 300)])
-def test_blocks_of_a_family_give_the_same(spark, monkeypatch, limit, size):
+@pytest.mark.parametrize(("limit", "size"), [("BLOCK", 3), ("BLOCK_SHINGLES", 300)])
+def test_dense_families_give_the_same(spark, monkeypatch, limit, size):
     rows = [(i, t) for i, t in corpus(5, 10) if i is not None]
     want = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, frame(spark, rows), 3, 85, 100).collect()}
     monkeypatch.setattr(near_dup, limit, size)
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, frame(spark, rows), 3, 85, 100).collect()} == want
 
 
+def test_a_dense_family_of_several_components(spark):
+    """One text with more and more of its words changed: a family that links only in parts, beyond one block."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.choice([2, 4, 12, 16, 20])):
+            words[rng.randrange(300)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute(rows, 3, 85, 100)
+    assert 20 < len({c for _, c in want.values()}) < 690
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark, frame(spark, rows, clashes=False), 3, 85, 100).collect()} == {i: c for i, (_, c) in want.items()}
+
+
+def test_blocks_end_at_the_shortest_common_prefix(monkeypatch):
+    import pyarrow as pa
+
+    rng, held = np.random.default_rng(1), []
+    monkeypatch.setattr(near_dup, "links_of", lambda sets, *_: held.append(len(sets)) or [])
+    values = np.concatenate([np.tile(rng.integers(0, 9, near_dup.DEEP), (n, 1)) for n in (5, 5, 3)]).astype(">u4")
+    values[:, -1] = np.arange(13)
+    sig = np.zeros((13, near_dup.VALUES), ">u4")
+    columns = [pa.array([7] * 13), pa.array([0] * 13, pa.int32()), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(range(13)), pa.array([v.tobytes() for v in sig], pa.binary()), pa.array([b"x" * 8] * 13, pa.binary())]
+    list(near_dup._deep_blocks(85, 100, 6, 1 << 20)([pa.RecordBatch.from_arrays(columns, names=list("abcdef"))]))
+    assert held == [5, 5, 3]
+    assert near_dup.common_prefix(np.array([[1, 2, 3], [1, 2, 4], [5, 2, 4], [5, 2, 4]])).tolist() == [2, 0, 3]
+
+
+def test_repeated_ids_keep_the_least_text(spark):
+    rows = [(1, "b c d e f"), (1, "a c d e f"), (1, None), (2, "b c d e f"), (3, " "), (3, "")]
+    out = sorted((r.doc_id, r.text) for r in near_dup.drop_near_duplicates(spark, frame(spark, rows, clashes=False)).collect())
+    assert out == [(1, "a c d e f"), (3, ""), (3, " ")]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(500)] + [(1000, 1001), (2000, 2000)], "a long, b long")
     assert {r.node: r.label for r in near_dup.components(spark, edges).collect()} == {i: 0 for i in range(501)} | {1000: 1000, 1001: 1000, 2000: 2000}
