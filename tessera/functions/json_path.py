@@ -5,7 +5,7 @@ Spark's parser stops after the first JSON value of a text; what follows it is no
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ BEHAVIOURS = {"NULL": None, "EMPTY ARRAY": "[]", "EMPTY OBJECT": "{}"}
 
 
 #: kinds that json_value does not return
-NO_SCALAR = "^(OBJECT|ARRAY|VOID|MISSING|BAD)"
+NO_SCALAR = ("OBJECT", "ARRAY", "VOID", "MISSING", "BAD")
 
 
 def normal_path(path: str) -> str:
@@ -23,25 +23,30 @@ def normal_path(path: str) -> str:
     return re.sub(r'\["([^"\]]*)"\]', r"['\1']", path)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is evaluated once, however often it stands there."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def parse(json: Column) -> Column:
+    """The text parsed once, for all paths asked of it: make it a column, and give it to the functions below as ``parsed``."""
+    return F.try_parse_json(json)
 
 
-def _kind(json: Column, path: str) -> Column:
+def _kind(json: Column, path: str, parsed: Column | None) -> Column:
     """OBJECT<..>, ARRAY<..>, a scalar type, VOID for JSON null, MISSING where nothing is found, BAD for text
-    that is no JSON, or NULL for NULL.  The text is parsed once."""
-    found = lambda v: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("MISSING"))
-    return F.when(json.isNotNull(), _bound(F.try_parse_json(json), lambda v: F.when(v.isNull(), F.lit("BAD")).otherwise(found(v))))
+    that is no JSON, or NULL for NULL."""
+    value = parse(json) if parsed is None else parsed
+    found = F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("MISSING"))
+    return F.when(value.isNotNull(), found).when(json.isNotNull(), F.lit("BAD"))
 
 
-def json_value(json: Column, path: str) -> Column:
+def _is(kind: Column, *starts: str) -> Column:
+    return reduce(lambda a, b: a | b, (kind.startswith(s) for s in starts))
+
+
+def json_value(json: Column, path: str, parsed: Column | None = None) -> Column:
     """The scalar at ``path`` as text; NULL for what is missing, null, an object or an array."""
     path = normal_path(path)
-    return F.when(~_kind(json, path).rlike(NO_SCALAR), F.get_json_object(json, path))
+    return F.when(~_is(_kind(json, path, parsed), *NO_SCALAR), F.get_json_object(json, path))
 
 
-def json_value_on(json: Column, path: str | None, on_empty: str = "NULL", on_error: str = "NULL", empty_default: str | None = None, error_default: str | None = None) -> Column:
+def json_value_on(json: Column, path: str | None, on_empty: str = "NULL", on_error: str = "NULL", empty_default: str | None = None, error_default: str | None = None, parsed: Column | None = None) -> Column:
     """``json_value`` with NULL, ERROR or DEFAULT behaviour on empty and on error.
 
     Errors are null input, text that is no JSON, and a path that does not begin
@@ -57,10 +62,11 @@ def json_value_on(json: Column, path: str | None, on_empty: str = "NULL", on_err
         return failed
     path = normal_path(path)
     empty = instead(on_empty, empty_default, "empty")
-    return _bound(_kind(json, path), lambda kind: F.when(kind.isNull() | (kind == "BAD"), failed).when(kind.rlike(NO_SCALAR), empty).otherwise(F.get_json_object(json, path)))
+    kind = _kind(json, path, parsed)
+    return F.when(kind.isNull() | (kind == "BAD"), failed).when(_is(kind, *NO_SCALAR), empty).otherwise(F.get_json_object(json, path))
 
 
-def json_query(json: Column, path: str | None, wrapper: str = "WITHOUT", on_empty: str = "NULL", on_error: str = "NULL") -> Column:
+def json_query(json: Column, path: str | None, wrapper: str = "WITHOUT", on_empty: str = "NULL", on_error: str = "NULL", parsed: Column | None = None) -> Column:
     """The object or array at ``path`` as text.
 
     wrapper is WITHOUT, CONDITIONAL (all but arrays are wrapped in an array) or
@@ -82,19 +88,16 @@ def json_query(json: Column, path: str | None, wrapper: str = "WITHOUT", on_empt
     bare = normal_path(bare)
     text, missing = F.get_json_object(json, bare), failed if mode == "strict" else empty
 
-    def result(kind: Column) -> Column:
-        container, array = kind.rlike("^(OBJECT|ARRAY)"), kind.startswith("ARRAY")
-        # get_json_object takes the quotes off a string; to_json puts them on again.
-        single = F.when(kind == "VOID", F.lit("[null]")).when(kind == "STRING", F.to_json(F.array(text))).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-        if wrapper == "UNCONDITIONAL":
-            found = single
-        elif wrapper == "CONDITIONAL":
-            found = F.when(array, text).otherwise(single)
-        else:
-            found = F.when(kind == "VOID", empty).when(container, text).otherwise(missing)
-        return F.when(kind.isNull(), F.lit(None)).when(kind == "BAD", failed).when(kind == "MISSING", missing).otherwise(found)
-
-    return _bound(_kind(json, bare), result)
+    kind = _kind(json, bare, parsed)
+    # get_json_object takes the quotes off a string; to_json puts them on again.
+    single = F.when(kind == "VOID", F.lit("[null]")).when(kind == "STRING", F.to_json(F.array(text))).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    if wrapper == "UNCONDITIONAL":
+        found = single
+    elif wrapper == "CONDITIONAL":
+        found = F.when(_is(kind, "ARRAY"), text).otherwise(single)
+    else:
+        found = F.when(kind == "VOID", empty).when(_is(kind, "OBJECT", "ARRAY"), text).otherwise(missing)
+    return F.when(kind.isNull(), F.lit(None)).when(kind == "BAD", failed).when(kind == "MISSING", missing).otherwise(found)
 
 
 def json_split(json: Column) -> Column:

@@ -61,3 +61,13 @@ def to_decimal(s: Column, precision: int, scale: int, policy: Policy = SPARK) ->
     if policy.decimal_text_rounds:
         return out
     return F.when(s.cast("decimal(38,18)") == out, out)
+
+
+def positive_mod(x: Column, y: Column, policy: Policy = SPARK) -> Column:
+    """The remainder with the sign of the divisor; by zero NULL, or 0 by policy."""
+    return F.when(y == 0, F.when(x.isNotNull(), F.lit(0))).otherwise(F.pmod(x, y)) if policy.pmod_zero_is_zero else F.pmod(x, y)
+
+
+def deviation(x: Column, policy: Policy = SPARK) -> Column:
+    """Sample standard deviation; of one value NULL, or NaN by policy; of none NULL."""
+    return F.when(F.count(x) == 1, F.lit(float("nan"))).otherwise(F.stddev_samp(x)) if policy.lone_deviation_is_nan else F.stddev_samp(x)

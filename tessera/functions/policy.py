@@ -28,6 +28,12 @@ class Policy:
     overflow_error: bool = False
     #: average of decimals: 4 more digits of scale than the input, or as many as fit
     wide_decimal_average: bool = False
+    #: ``pmod`` by zero: null, or 0
+    pmod_zero_is_zero: bool = False
+    #: sample deviation of one value: null, or NaN
+    lone_deviation_is_nan: bool = False
+    #: offsets of RANGE frames: values of the order key, or positions
+    range_offsets_are_rows: bool = False
 
 
 SPARK = Policy()

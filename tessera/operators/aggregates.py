@@ -34,10 +34,18 @@ def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], keys: Sequence[s
 
 
 def rollup_refined(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Sum and count rolled up from the finest level: rows are grouped once by all keys, and only
-    those groups are expanded to the coarser levels."""
-    finest = df.groupBy(*keys).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    return finest.rollup(*keys).agg(F.grouping_id().alias("grouping_id"), F.sum("s").alias("total"), F.sum("c").alias("rows"))
+    """Sum, count, average, least, largest and sample deviation rolled up from the finest level: rows are grouped
+    once by all keys, and only those groups are expanded to the coarser levels."""
+    finest = df.groupBy(*keys).agg(
+        F.sum(value).alias("_sum"), F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.avg(value).alias("_mean"), (F.var_pop(value) * F.count(value)).alias("_squares")
+    )
+    coarser = finest.rollup(*keys).agg(
+        F.grouping_id().alias("grouping_id"), F.sum("_sum").alias("total"), F.sum("_n").alias("rows"), F.min("_min").alias("least"), F.max("_max").alias("most"),
+        F.sum("_squares").alias("_within"), F.sum(F.col("_n") * F.col("_mean") * F.col("_mean")).alias("_between"),
+    )
+    mean, n = F.col("total") / F.col("rows"), F.col("rows")
+    squares = F.col("_within") + F.greatest(F.col("_between") - n * mean * mean, F.lit(0.0))
+    return coarser.withColumns({"mean": F.when(n > 0, mean), "deviation": F.when(n > 1, F.sqrt(squares / (n - 1)))}).drop("_within", "_between")
 
 
 def first_by(value: str, order: str) -> Column:

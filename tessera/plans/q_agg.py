@@ -144,10 +144,11 @@ def agg_grouping_sets(t: Tables):
 
 
 @query("""
-SELECT l_returnflag, l_suppkey, CAST(grouping(l_returnflag, l_suppkey) AS BIGINT) AS grouping_id, sum(l_quantity) AS total, count(l_quantity) AS rows FROM lineitem GROUP BY ROLLUP (l_returnflag, l_suppkey)""")
+SELECT l_returnflag, l_suppkey, CAST(grouping(l_returnflag, l_suppkey) AS BIGINT) AS grouping_id, sum(l_quantity) AS total, count(l_quantity) AS rows, min(l_quantity) AS least, max(l_quantity) AS most,
+  round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS deviation FROM lineitem GROUP BY ROLLUP (l_returnflag, l_suppkey)""")
 def agg_rollup_refined(t: Tables):
     """Rollup over the groups of the finest level rather than over the rows."""
-    return aggregates.rollup_refined(t.lineitem, ["l_returnflag", "l_suppkey"], "l_quantity")
+    return aggregates.rollup_refined(t.lineitem, ["l_returnflag", "l_suppkey"], "l_quantity").withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
 
 
 @query("SELECT p_partkey + 5 AS k, 'a' AS kind FROM part UNION ALL SELECT p_partkey, 'b' FROM part")
@@ -164,8 +165,9 @@ def win_row_number(t: Tables):
 
 @query("SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderdate) AS r FROM orders")
 def win_rank(t: Tables):
-    spec = windows.over(["o_orderstatus"], [key("o_orderpriority"), key("o_orderdate")])
-    return t.orders.select("o_orderkey", F.rank().over(spec).cast("long").alias("r"))
+    """Rank in few and large partitions, spread over all tasks."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    return windows.spread_rank(t.spark, rows, ["o_orderstatus"], [key("o_orderpriority"), key("o_orderdate")], "r").select("o_orderkey", F.col("r").cast("long").alias("r"))
 
 
 _ROWS = ", ".join(f"{f} OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS {a}" for f, a in (
@@ -216,12 +218,14 @@ def win_empty_frame(t: Tables):
 
 
 @query("""
-WITH p AS (SELECT o_orderkey, o_custkey, o_orderkey % 4 AS back, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
-SELECT a.o_orderkey, CAST(sum(b.o_orderkey) AS BIGINT) AS total FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND b.rn BETWEEN a.rn - a.back AND a.rn GROUP BY a.o_orderkey""")
+WITH p AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS v, o_orderkey % 4 AS back, o_orderkey % 3 AS ahead, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
+SELECT a.o_orderkey, round(sum(b.v), 4) AS total, count(b.v) AS n, round(avg(b.v), 4) AS mean, min(b.v) AS least, max(b.v) AS most
+FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND b.rn BETWEEN a.rn - a.back AND a.rn + a.ahead GROUP BY a.o_orderkey""")
 def win_frame_by_column(t: Tables):
-    """A frame whose length is a column of the row."""
-    o = t.orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 4).alias("back"))
-    return windows.frame_by_column(o, ["o_custkey"], [key("o_orderkey")], "o_orderkey", "back", "total").select("o_orderkey", "total")
+    """Frames whose bounds are columns of the row, over values with nulls."""
+    o = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("v"), (F.col("o_orderkey") % 4).alias("back"), (F.col("o_orderkey") % 3).alias("ahead"))
+    o = windows.frame_by_column(o, ["o_custkey"], [key("o_orderkey")], "v", "back", {"total": "sum", "n": "count", "mean": "avg", "least": "min", "most": "max"}, "ahead")
+    return o.select("o_orderkey", F.round("total", 4).alias("total"), "n", F.round("mean", 4).alias("mean"), "least", "most")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS r FROM orders) WHERE r <= 2")

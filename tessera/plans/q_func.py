@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import dates, expressions, json_path, numbers, strings, udfs
 from tessera.functions.policy import PRESTO_STYLE, Policy
 from tessera.plans.registry import Block, Tables
-from tessera.runtime import ship
+from tessera.runtime import ship, spread
 
 BLOCK = Block()
 query = BLOCK.query
@@ -103,11 +103,11 @@ SELECT event_id, json_extract_string(j, '$.n') AS n, json_extract_string(j, '$.a
 def json_value(t: Tables):
     """Scalars by path; objects, arrays and nulls count as empty, other text as an error."""
     j = F.concat(F.lit('{"a": {"b": [1, "x", null]}, "n": '), (F.col("event_id") % 7).cast("string"), F.lit(', "s": "t"}'))
-    e = t.events.select("event_id", j.alias("j"))
-    c = F.col("j")
+    e = spread(t.spark, t.events.select("event_id")).select("event_id", j.alias("j")).withColumn("v", json_path.parse(F.col("j")))
+    c, v = F.col("j"), F.col("v")
     return e.select(
-        "event_id", json_path.json_value(c, "$.n").alias("n"), json_path.json_value(c, '$["a"]["b"][1]').alias("x"), json_path.json_value(c, "$.a").alias("object_"), json_path.json_value(c, "$.a.b[2]").alias("null_"),
-        json_path.json_value_on(c, "$.a.b[7]", "DEFAULT", "NULL", "none").alias("default_"), json_path.json_value_on(F.concat(F.lit("{"), c), "$.n", "NULL", "DEFAULT", None, "bad").alias("error_"),
+        "event_id", json_path.json_value(c, "$.n", v).alias("n"), json_path.json_value(c, '$["a"]["b"][1]', v).alias("x"), json_path.json_value(c, "$.a", v).alias("object_"), json_path.json_value(c, "$.a.b[2]", v).alias("null_"),
+        json_path.json_value_on(c, "$.a.b[7]", "DEFAULT", "NULL", "none", parsed=v).alias("default_"), json_path.json_value_on(F.concat(F.lit("{"), c), "$.n", "NULL", "DEFAULT", None, "bad").alias("error_"),
     )
 
 
@@ -117,11 +117,16 @@ SELECT event_id, '{"b":[1,"x",null]}' AS object_, '[1,"x",null]' AS array_, CAST
 def json_query(t: Tables):
     """Objects and arrays by path, wrappers, and the lax and strict behaviours."""
     j = F.concat(F.lit('{"a": {"b": [1, "x", null]}, "n": '), (F.col("event_id") % 7).cast("string"), F.lit(', "s": "t"}'))
-    q, c = json_path.json_query, F.col("j")
-    return t.events.select("event_id", j.alias("j")).select(
-        "event_id", q(c, "$.a").alias("object_"), q(c, "$.a.b").alias("array_"), q(c, "$.s").alias("scalar"), q(c, "$.s", "CONDITIONAL").alias("wrapped"), q(c, "$.n", "UNCONDITIONAL").alias("number"),
-        q(c, "$.a.b", "UNCONDITIONAL").alias("always"), q(c, "$.a.b", "CONDITIONAL").alias("conditional"), q(c, "$.none", on_empty="EMPTY ARRAY").alias("empty_"), q(c, "strict $.none", on_error="EMPTY OBJECT").alias("strict_"),
-        q(F.concat(F.lit("{"), c), "$.a", on_error="EMPTY ARRAY").alias("bad"),
+    c, v = F.col("j"), F.col("v")
+
+    def q(*arguments, **behaviours):
+        return json_path.json_query(c, *arguments, **behaviours, parsed=v)
+
+    e = spread(t.spark, t.events.select("event_id")).select("event_id", j.alias("j")).withColumn("v", json_path.parse(c))
+    return e.select(
+        "event_id", q("$.a").alias("object_"), q("$.a.b").alias("array_"), q("$.s").alias("scalar"), q("$.s", "CONDITIONAL").alias("wrapped"), q("$.n", "UNCONDITIONAL").alias("number"),
+        q("$.a.b", "UNCONDITIONAL").alias("always"), q("$.a.b", "CONDITIONAL").alias("conditional"), q("$.none", on_empty="EMPTY ARRAY").alias("empty_"), q("strict $.none", on_error="EMPTY OBJECT").alias("strict_"),
+        json_path.json_query(F.concat(F.lit("{"), c), "$.a", on_error="EMPTY ARRAY").alias("bad"),
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers
 from tessera.operators import ordering, projections
 from tessera.plans.registry import Block, Tables
-from tessera.runtime import scratch_dir
+from tessera.runtime import scratch_dir, ship
 from tessera.sources import io
 from tessera.streaming import batches
 
@@ -64,26 +65,60 @@ def scan_pushdown(t: Tables):
     return io.read(t.spark, f"{t.sf_dir}/part.parquet", columns=["p_partkey", "p_name", "p_size", "p_type"]).filter("p_size > 40 AND p_type = 'PROMO'").select("p_partkey", "p_name")
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100 + i, 'batch ' || CAST(i AS VARCHAR) FROM range(40) r(i)")
 def scan_value_stream(t: Tables):
-    """In-process Arrow batches as a source."""
-    held = t.nation.select("n_nationkey", "n_name").toArrow()
-    return batches.from_batches(t.spark, held.to_batches(max_chunksize=7), held.schema)
-
-
-@query()
+    """In-process Arrow batches as a source: held by the driver, and from iterators opened in the tasks."""
+    ship(t.spark)
+    held = t.nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name").toArrow()
+
+    def open_(part: int):
+        for at in range(part * 10, part * 10 + 10, 5):
+            yield pa.RecordBatch.from_pydict({"n_nationkey": [100 + i for i in range(at, at + 5)], "n_name": [f"batch {i}" for i in range(at, at + 5)]})
+
+    schema = pa.schema([("n_nationkey", pa.int64()), ("n_name", pa.string())])
+    return batches.from_batches(t.spark, held.to_batches(max_chunksize=7), held.schema).union(batches.from_iterators(t.spark, open_, 4, schema))
+
+
+#: Murmur3 of a 64-bit number, seed 42, in 32-bit steps
+_HASH = """
+WITH o AS (SELECT CAST(o_custkey AS UBIGINT) AS v FROM orders),
+a AS (SELECT v, ((v % 4294967296) * 3432918353) % 4294967296 AS k, v // 4294967296 AS hi FROM o),
+b AS (SELECT hi, (((k * 32768) % 4294967296 + k // 131072) * 461845907) % 4294967296 AS k FROM a),
+c AS (SELECT hi, xor(CAST(42 AS UBIGINT), k) AS h FROM b),
+d AS (SELECT hi, (((h * 8192) % 4294967296 + h // 524288) * 5 + 3864292196) % 4294967296 AS h FROM c),
+e AS (SELECT h, (hi * 3432918353) % 4294967296 AS k FROM d),
+f AS (SELECT xor(h, (((k * 32768) % 4294967296 + k // 131072) * 461845907) % 4294967296) AS h FROM e),
+g AS (SELECT xor((((h * 8192) % 4294967296 + h // 524288) * 5 + 3864292196) % 4294967296, CAST(8 AS UBIGINT)) AS h FROM f),
+i AS (SELECT (xor(h, h // 65536) * 2246822507) % 4294967296 AS h FROM g),
+j AS (SELECT (xor(h, h // 8192) * 3266489909) % 4294967296 AS h FROM i),
+m AS (SELECT xor(h, h // 65536) AS h FROM j)
+SELECT CAST(h % 16 AS INT) AS partition, count(*) AS rows FROM m GROUP BY 1"""
+
+
+@query(_HASH)
 def partition_ids(t: Tables):
     """Rows of each partition of a hash exchange, told by expression."""
-    return t.orders.select(numbers.partition_id(16, F.col("o_custkey")).alias("partition")).groupBy("partition").agg(F.count(F.lit(1)).alias("rows"))
+    return t.orders.select(numbers.partition_id(16, F.col("o_custkey").cast("long")).alias("partition")).groupBy("partition").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("""
 WITH o AS (SELECT o_orderkey, nullif(o_custkey % 5, 0) AS k FROM orders)
-SELECT CAST(sum(CASE WHEN k IS NULL THEN 4 ELSE 1 END) AS BIGINT) AS rows, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders FROM o""")
+SELECT CAST(sum(CASE WHEN k IS NULL THEN 4 ELSE 1 END) AS BIGINT) AS rows, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders, true AS in_place FROM o""")
 def exchange_replicates_nulls(t: Tables):
-    """Rows with a null key go to every partition, others to one."""
-    dealt = io.deal_replicating_nulls(t.orders.select("o_orderkey", F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("k")), 4, "k")
-    return dealt.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("orders"))
+    """Rows with a null key go to every partition, others to one; each row is where its partition number says."""
+    rows = t.orders.select("o_orderkey", F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("k"))
+    dealt = io.deal_output(rows, 4, ["k"], replicate_nulls=True).withColumn("at", F.spark_partition_id())
+    return dealt.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("orders"), F.bool_and(F.col("at") == F.col("partition")).alias("in_place"))
+
+
+@query("""
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT o_orderkey % 6) AS BIGINT) AS buckets, true AS in_place FROM orders""")
+def exchange_by_bucket_map(t: Tables):
+    """A bucket map over a hash that the rows bring along."""
+    rows = t.orders.select("o_orderkey", (F.col("o_orderkey") % 6).alias("h"))
+    dealt = io.deal_output(rows, 3, ["o_orderkey"], buckets=[2, 0, 1, 1, 0, 2], hash_column="h").withColumn("at", F.spark_partition_id())
+    told = F.get(F.array(*map(F.lit, (2, 0, 1, 1, 0, 2))), F.col("h").cast("int"))
+    return dealt.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("h").alias("buckets"), F.bool_and((F.col("at") == F.col("partition")) & (told == F.col("partition"))).alias("in_place"))
 
 
 @query("""

@@ -45,7 +45,15 @@ def deal(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def deal_replicating_nulls(df: DataFrame, n: int, key: str) -> DataFrame:
-    """Hash exchange in which rows with a null key go to every partition (column ``partition``)."""
-    every, one = F.sequence(F.lit(0), F.lit(n - 1)), F.array(F.pmod(F.hash(key), F.lit(n)))
-    return df.withColumn("partition", F.explode(F.when(F.col(key).isNull(), every).otherwise(one)))
+def deal_output(df: DataFrame, n: int, keys: Sequence[str], replicate_nulls: bool = False, buckets: Sequence[int] | None = None, hash_column: str | None = None) -> DataFrame:
+    """Exchange by the partition a row's hash names, with that number in the column ``partition``.
+
+    Rows go to ``pmod(hash(keys), n)``, or to ``buckets[pmod(hash, len(buckets))]`` by a bucket map; a
+    column may bring the hash.  With ``replicate_nulls`` rows with a null first key go to every partition.
+    A row of partition p is in the p-th partition of the result."""
+    value = F.col(hash_column) if hash_column else F.hash(*keys)
+    one = F.pmod(value, F.lit(len(buckets) if buckets else n)).cast("int")
+    one = F.get(F.array(*map(F.lit, buckets)), one) if buckets else one
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    targets = F.when(F.col(keys[0]).isNull(), every).otherwise(F.array(one)) if replicate_nulls else F.array(one)
+    return df.withColumn("partition", F.explode(targets)).repartitionById(n, F.col("partition"))

@@ -1,5 +1,7 @@
+import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ def test_group_limit_is_cut_before_the_shuffle(spark, ties):
 def test_frame_by_column(spark):
     rng = random.Random(2)
     data = [(p, i, rng.randint(0, 9), rng.randint(0, 4)) for p in range(5) for i in range(30)]
-    out = windows.frame_by_column(spark.createDataFrame(data, "p int, i int, v long, back int"), ["p"], [key("i")], "v", "back", "s")
+    out = windows.frame_by_column(spark.createDataFrame(data, "p int, i int, v long, back int"), ["p"], [key("i")], "v", "back", {"s": "sum"})
     by = {(p, i): v for p, i, v, _ in data}
     assert {(r.p, r.i): r.s for r in out.collect()} == {(p, i): sum(by[p, k] for k in range(max(0, i - b), i + 1)) for p, i, _, b in data}
 
@@ -61,7 +63,8 @@ def test_rollup_equals_union_of_groups(spark):
     )
     assert rows(aggregates.rollup(df, ["a", "b"], *total)) == rows(want)
     assert rows(aggregates.grouping_sets(df, [["a", "b"], ["a"], []], ["a", "b"], *total)) == rows(want)
-    assert rows(aggregates.rollup_refined(df, ["a", "b"], "v").drop("rows")) == rows(want)
+    out = aggregates.rollup_refined(df, ["a", "b"], "v")
+    assert rows(out.drop("rows", "least", "most", "mean", "deviation")) == rows(want)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -161,7 +164,9 @@ def test_partition_ids_are_those_of_the_exchange(spark):
 
 def test_nulls_go_to_every_partition(spark):
     df = spark.createDataFrame([(1,), (None,)], "k int")
-    assert sorted(r.k is None for r in io.deal_replicating_nulls(df, 3, "k").collect()) == [False, True, True, True]
+    dealt = io.deal_output(df, 3, ["k"], replicate_nulls=True).withColumn("at", F.spark_partition_id()).collect()
+    assert sorted(r.k is None for r in dealt) == [False, True, True, True] and all(r["at"] == r["partition"] for r in dealt)
+    assert sorted(r["partition"] for r in dealt if r.k is None) == [0, 1, 2]
 
 
 def test_batches(spark):
@@ -177,3 +182,83 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = catalogue.queries()["scan_pushdown"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(p_size), IsNotNull(p_type), GreaterThan(p_size,40), EqualTo(p_type,PROMO)]" in plan
     assert "p_brand" not in plan
+
+
+def test_frames_by_columns_equal_loops(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2]), i, rng.choice([None, 0.1, 1e17, -1e17, 3.5]), rng.choice([None, -2, 0, 1, 5, 40]), rng.choice([-1, 0, 2, 30])) for i in range(150)]
+    df = spark.createDataFrame(rows, "p int, i int, v double, back int, ahead int")
+    names = ("sum", "count", "avg", "min", "max")
+    found = windows.frame_by_column(df, ["p"], [key("i")], "v", "back", {n: n for n in names}, "ahead").collect()
+    for name in names:
+        got = {r.i: r[name] for r in found}
+        for p, i, _, back, ahead in rows:
+            own = [r for r in rows if r[0] == p]
+            at = own.index(next(r for r in own if r[1] == i))
+            held = [] if back is None else [r[2] for r in own[max(0, at - back) : max(0, at + ahead + 1)] if r[2] is not None]
+            exact = math.fsum(held) if held else None
+            if name == "count":
+                assert got[i] == len(held)
+            elif not held:
+                assert got[i] is None
+            elif name in ("min", "max"):
+                assert got[i] == {"min": min, "max": max}[name](held)
+            else:
+                assert math.isclose(got[i], exact / (len(held) if name == "avg" else 1), abs_tol=64)
+    lone = spark.createDataFrame([("a", 1, 0.1, 0), ("a", 2, None, 0), ("a", 3, 1e17, 0), ("a", 4, 0.1, 0)], "p string, i int, v double, back int")
+    assert {r.i: r.x for r in windows.frame_by_column(lone, ["p"], [key("i")], "v", "back", {"x": "sum"}).collect()} == {1: 0.1, 2: None, 3: 1e17, 4: 0.1}
+
+
+def test_spread_rank_equals_rank(spark):
+    df = spark.createDataFrame([(None if k % 50 == 0 else "hot" if k % 10 else f"p{k % 70}", k * 7 % 40, k) for k in range(600)], "p string, o int, id int")
+    for ties, order in ((True, [key("o", False)]), (False, [key("o"), key("id")])):
+        spec = windows.over(["p"], order)
+        want = {r.id: r.x for r in df.withColumn("x", (F.rank if ties else F.row_number)().over(spec)).collect()}
+        assert {r.id: r.x for r in windows.spread_rank(spark, df, ["p"], order, "x", ties).collect()} == want
+
+
+def test_policies_of_numbers_and_frames(spark):
+    from tessera.functions import numbers
+    from tessera.functions.policy import Policy
+
+    other = Policy(pmod_zero_is_zero=True, lone_deviation_is_nan=True, range_offsets_are_rows=True)
+    df = spark.createDataFrame([("a", 1, -7, 0), ("b", 1, 7, 3), ("b", 5, None, 0), ("b", 6, 1, 2)], "g string, k int, x int, y int")
+    got = [tuple(r) for r in df.select(numbers.positive_mod(F.col("x"), F.col("y")), numbers.positive_mod(F.col("x"), F.col("y"), other)).collect()]
+    assert got == [(None, 0), (1, 1), (None, None), (1, 1)]
+    dev = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(numbers.deviation(F.col("x")).alias("a"), numbers.deviation(F.col("x"), other).alias("b")).collect()}
+    assert dev["a"][0] is None and math.isnan(dev["a"][1]) and dev["b"][0] == dev["b"][1]
+    near = [F.count(F.lit(1)).over(windows.over(["g"], [key("k")], values=(-1, 0), policy=p)) for p in (Policy(), other)]
+    assert sorted((r.g, r.k, *r[2:]) for r in df.select("g", "k", *near).collect()) == [("a", 1, 1, 1), ("b", 1, 1, 1), ("b", 5, 1, 2), ("b", 6, 2, 2)]
+
+
+def test_runtime_bloom_filter_prunes_the_large_side(spark):
+    from tessera.plans import catalogue
+
+    keys = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        out = catalogue.queries()["bloom_pruned_join"](spark, "/root/testdata/sf0.001")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "might_contain" in plan and "bloom_filter_agg" in plan and out.count() >= 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_iterators_are_read_in_the_tasks(spark):
+    from tessera.runtime import ship
+
+    ship(spark)
+    schema = pa.schema([("part", pa.int64()), ("x", pa.string())])
+
+    def open_(part):
+        for n in range(part):
+            yield pa.RecordBatch.from_pydict({"part": [part] * 2, "x": [None, f"{n}"]}, schema=schema)
+
+    df = batches.from_iterators(spark, open_, 4, schema)
+    assert df.rdd.getNumPartitions() == 4 and df.columns == ["part", "x"]
+    assert {r.part: r["count"] for r in df.groupBy("part").count().collect()} == {1: 2, 2: 4, 3: 6}
