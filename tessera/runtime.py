@@ -73,20 +73,29 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark.sparkContext, "_tessera_scratch", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = spark.sparkContext._tessera_scratch = f"file://{tempfile.mkdtemp(prefix='tessera-scratch-')}"
     path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
     spark.sparkContext._tessera_folders = [*getattr(spark.sparkContext, "_tessera_folders", ()), path]
     return path
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables of this session, once no result is needed that reads them; returns how many."""
-    folders = getattr(spark.sparkContext, "_tessera_folders", ())
-    for path in folders:
+def scratch_count(spark: SparkSession) -> int:
+    """How many scratch tables this session has made and not deleted."""
+    return len(getattr(spark.sparkContext, "_tessera_folders", ()))
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the scratch tables of this session from the ``since``-th on but for the last ``keep``, once no
+    result is needed that reads them; returns how many."""
+    folders = list(getattr(spark.sparkContext, "_tessera_folders", ()))
+    gone = folders[since : len(folders) - keep]
+    for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    spark.sparkContext._tessera_folders = []
-    return len(folders)
+    spark.sparkContext._tessera_folders = [f for f in folders if f not in gone]
+    return len(gone)
 
 
 def materialise(spark: SparkSession, df: DataFrame, partition_by: str | None = None) -> DataFrame:
