@@ -11,8 +11,10 @@ whose second part, the risk on the negatives hidden in the unlabelled texts,
 must not fall below zero; where it does, the step goes against it.  Weights are
 kept non-negative, so harmless text cannot outweigh what is toxic in a long text.
 
-Fitting uses bounded samples (``positives``, ``unlabelled``); the prior is counted over
-all labelled rows given, and all documents are scored.
+Fitting uses bounded samples of rows (``positives``, ``unlabelled``), whole texts of any
+length: features are counted and looked up where the texts are, so what comes to
+the driver is counts of at most ``FEATURES`` features a view and a row of bits for each
+text drawn.  The prior is counted over all labelled rows given, and all documents are scored.
 """
 
 from __future__ import annotations
@@ -26,18 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textkernel as tk
-from tessera.runtime import ship
+from tessera.runtime import materialise, ship
 
 #: confirmed toxic texts and unlabelled texts in the fit, at most
 POSITIVES, UNLABELLED = 1000, 3000
-#: bytes of a text that is drawn for the fit, at most
-FIT_BYTES = 1 << 16
 #: features of a view
 FEATURES = 1024
 #: least signed root of the likelihood ratio of a feature
 STRENGTH = 3.6
 #: where few positive texts leave fewer features than FEW, down to this
 WEAK, FEW = 2.8, 6
+#: words, and proper prefixes of words
+VIEWS = (0, 1)
 #: bytes of the prefixes of the second view
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 THRESHOLD = 0.7
@@ -93,48 +95,64 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _presence(texts: list[str], view: int, among: tk.Sieve | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs; with ``among`` of its features only, as their indices."""
-    rows, hashes = [], []
-    for chunk in tk.chunks(pa.array(texts, pa.string())):
-        found, row = features(chunk, view)
-        if among:
-            at, found = among.find(found)
-            row = row[at]
-        order = np.lexsort((found, row))
-        found, row = found[order], row[order]
-        fresh = np.ones(len(found), dtype=bool)
-        fresh[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-        rows.append(row[fresh] + chunk.first)
-        hashes.append(found[fresh])
-    return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def choose_features(positive: list[str], unlabelled: list[str], view: int, prior: float, most: int = FEATURES) -> np.ndarray:
-    """Features far more frequent in positive texts than in the negatives hidden among the unlabelled."""
-    n_pos, n_unl = len(positive), len(unlabelled)
-    names, in_pos = np.unique(_presence(positive, view)[1], return_counts=True)
-    often = in_pos >= max(2, n_pos / 400)
-    names, in_pos = names[often], in_pos[often]
-    in_unl = np.bincount(_presence(unlabelled, view, tk.Sieve(names))[1], minlength=len(names))
-    p, u = in_pos / max(1, n_pos), in_unl / max(1, n_unl)
-    negative = np.clip((u - prior * p) / (1 - prior), 0, 1)
-    both = (in_pos + in_unl) / max(1, n_pos + n_unl)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        parts = [np.where(k > 0, k * np.log(k / n / both), 0) for k, n in ((in_pos, max(1, n_pos)), (in_unl, max(1, n_unl)))]
-    strength = np.sqrt(np.maximum(2 * (parts[0] + parts[1]), 0))  # signed root of the likelihood ratio
-    good = np.flatnonzero((strength >= WEAK) & (p >= 4 * negative))
-    good = good[np.argsort(-strength[good], kind="stable")[:most]]
-    good = good[: max(FEW, int((strength[good] >= STRENGTH).sum()))]
-    return np.sort(names[good])
-
-
-def _matrix(texts: list[str], view: int, names: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(texts), len(names)), dtype=np.float32)
-    out[_presence(texts, view, tk.Sieve(names))] = 1
+def distinct_features(chunk: tk.Chunk, view: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) pairs."""
+    found, row = features(chunk, view)
+    order = np.lexsort((found, row))
+    found, row = found[order], row[order]
+    fresh = np.ones(len(found), dtype=bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+    return row[fresh], found[fresh]
+
+
+def _feature_rows(batches):
+    """(view, feature, kind) for each distinct feature of each text of (kind, text)."""
+    for batch in batches:
+        kinds = batch.column(0).to_numpy()
+        for chunk in tk.chunks(batch.column(1)):
+            for view in VIEWS:
+                row, found = distinct_features(chunk, view)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), view, np.int32)), pa.array(found.view(np.int64)), pa.array(kinds[chunk.first + row])], names=["view", "feature", "kind"])
+
+
+def choose_features(texts: DataFrame, n_pos: int, n_unl: int, prior: float, most: int = FEATURES) -> list[np.ndarray]:
+    """For each view the features far more frequent in positive texts than in the negatives hidden among the
+    unlabelled; texts are rows (kind, text), kind 1 for positive."""
+    counted = texts.mapInArrow(_feature_rows, "view int, feature long, kind int").groupBy("view", "feature").agg(F.sum("kind").alias("k"), F.sum(1 - F.col("kind")).alias("m"))
+    n_p, n_u = float(max(1, n_pos)), float(max(1, n_unl))
+    both = f"((k + m) / {n_p + n_u}D)"
+    part = lambda c, n: f"if({c} > 0, {c} * ln({c} / {n}D / {both}), 0D)"
+    counted = counted.filter(F.col("k") >= max(2.0, n_pos / 400)).withColumn("strength", F.expr(f"sqrt(greatest(2 * ({part('k', n_p)} + {part('m', n_u)}), 0D))"))  # signed root of the likelihood ratio
+    negative = f"greatest(0D, least(1D, (m / {n_u}D - {prior}D * k / {n_p}D) / {1 - prior}D))"
+    good = counted.filter((F.col("strength") >= WEAK) & F.expr(f"k / {n_p}D >= 4 * {negative}"))
+    out = []
+    for view in VIEWS:
+        held = good.filter(F.col("view") == view).orderBy(F.desc("strength"), "feature").limit(most).select("feature", "strength").collect()
+        kept = max(FEW, sum(r.strength >= STRENGTH for r in held))
+        out.append(np.sort(np.array([r.feature for r in held[:kept]], dtype=np.int64).view(np.uint64)))
     return out
 
 
+def _bit_rows(shared):
+    """(kind, doc_id, bits of each view) for each text of (kind, doc_id, text): which of the views' features it holds."""
+
+    def run(batches):
+        names = shared.value
+        sieves = [tk.Sieve(x) for x in names]
+        for batch in batches:
+            for chunk in tk.chunks(batch.column(2)):
+                bits = []
+                for view in VIEWS:
+                    held = np.zeros((chunk.rows, len(names[view])), dtype=bool)
+                    found, row = features(chunk, view)
+                    at, which = sieves[view].find(found)
+                    held[row[at], which] = True
+                    bits.append(pa.array([np.packbits(r).tobytes() for r in held], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(chunk.first, chunk.rows) for k in (0, 1)), *bits], names=["kind", "doc_id", "one", "two"])
+
+    return run
+
+
 def fit_view(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk with the logistic loss."""
     w, b = np.zeros(x_pos.shape[1]), -2.0
@@ -172,42 +190,43 @@ def place_cut(z_pos: np.ndarray, z_unl: np.ndarray, prior: float) -> float:
     return float(middles[np.flatnonzero(gain == gain.max())[-1]])
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
-    """Train both views.  Without positive or unlabelled texts every score is the prior's."""
-    prior = min(max(prior, 1e-4), 0.9)
-    base = float(np.log(prior / (1 - prior)))
-    views = []
-    for view in (0, 1):
-        names, w, b = np.zeros(0, np.uint64), np.zeros(0), base
-        if positive and unlabelled:
-            names = choose_features(positive, unlabelled, view, prior)
-            if len(names):
-                w, b = fit_view(_matrix(positive, view, names), _matrix(unlabelled, view, names), prior)
-        views.append(View(names, w, b))
-    model = Model(views)
-    if any(len(v.hashes) for v in views):
-        sieves = [tk.Sieve(v.hashes) for v in views]
-        z_pos, z_unl = (np.concatenate([model.logits(chunk, sieves) for chunk in tk.chunks(pa.array(texts, pa.string()))]) for texts in (positive, unlabelled))
-        model.cut = place_cut(z_pos, z_unl, prior)
-    return model
-
-
 def train(spark: SparkSession, docs: DataFrame, toxic_ids: DataFrame, prior: float, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fit on the texts of ``toxic_ids`` (doc_id) and on unlabelled texts of ``docs``, both drawn by
-    the order of a hash of the id, up to the given numbers of rows."""
+    """Fit on the texts of ``toxic_ids`` (doc_id) and on unlabelled texts of ``docs``, both drawn among documents
+    with a text by the order of a hash of the id, up to the given numbers; of rows that repeat an id the least
+    text is read.  Without positive or unlabelled texts every score is the prior's."""
+    ship(spark)
+    prior = min(max(prior, 1e-4), 0.9)
+    worded = docs.filter("doc_id is not null and octet_length(text) > 0")
 
     def drawn(ids: DataFrame, most: int, kind: int) -> DataFrame:
-        return ids.filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("kind", F.lit(kind))
-
-    chosen = drawn(toxic_ids.select("doc_id"), positives, 1).union(drawn(docs.select("doc_id"), unlabelled, 0))
-    texts = docs.select("doc_id", "text").filter(f"octet_length(text) between 1 and {FIT_BYTES}").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("kind", "doc_id", "text").orderBy("kind", "doc_id", "text").collect()
-    return fit([r.text for r in rows if r.kind], [r.text for r in rows if not r.kind], prior)
+        return ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("kind", F.lit(kind))
+
+    ids = worded.select("doc_id")
+    chosen = materialise(spark, drawn(ids.join(toxic_ids.select("doc_id"), "doc_id", "left_semi"), positives, 1).union(drawn(ids, unlabelled, 0)))
+    texts = worded.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("kind", "doc_id").agg(F.min("text").alias("text"))
+    texts = materialise(spark, texts)
+    n_pos, n_unl = (chosen.filter(f"kind = {kind}").count() for kind in (1, 0))
+    names = choose_features(texts.select("kind", "text"), n_pos, n_unl, prior) if n_pos and n_unl else [np.zeros(0, np.uint64)] * len(VIEWS)
+    base = float(np.log(prior / (1 - prior)))
+    if not any(len(x) for x in names):
+        return Model([View(x, np.zeros(0), base) for x in names])
+    held = texts.select("kind", "doc_id", "text").mapInArrow(_bit_rows(spark.sparkContext.broadcast(names)), "kind int, doc_id long, one binary, two binary")
+    rows = held.orderBy("kind", "doc_id").collect()
+    views, logits = [], []
+    for name, column in zip(names, ("one", "two"), strict=True):
+        w, b = np.zeros(0), base
+        x = [np.array([np.unpackbits(np.frombuffer(r[column], np.uint8), count=len(name)) for r in rows if r.kind == kind], dtype=np.float32).reshape(-1, len(name)) for kind in (1, 0)]
+        if len(name):
+            w, b = fit_view(*x, prior)
+        views.append(View(name, w, b))
+        logits.append([part @ w + b for part in x])
+    return Model(views, place_cut(*(np.maximum(a, b) for a, b in zip(*logits, strict=True)), prior))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of docs (all by default) and _score, 0 to 1, from the whole text
-    alone.  Null and empty texts have no features and get the score of the bias."""
+    alone, however long.  Null and empty texts have no features and get the score of the bias;
+    rows that repeat an id are scored on their own, equal texts alike; an empty table gives none."""
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     columns = docs.columns

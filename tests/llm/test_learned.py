@@ -1,10 +1,13 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import resample, toxicity_pu
-from tests.llm.helpers import corpus, frame
+from tessera.llm import textkernel as tk
+from tests.llm.helpers import alnum_words, corpus, frame
 
 
 def prose(rng, n):
@@ -56,6 +59,52 @@ def test_harmless_text_does_not_hide_toxic_words(spark):
     assert scores[2] >= scores[1] > 0.9 and scores[3] < toxicity_pu.THRESHOLD
 
 
+def plain_features(text, view):
+    words = [w.encode() for w in alnum_words(text)]
+    return set(words) if view == 0 else {w[:k] for w in words for k in toxicity_pu.PREFIXES if len(w) > k}
+
+
+def hash_of(feature):
+    (chunk,) = tk.chunks(pa.array([feature], pa.binary()))
+    return int(chunk.hashes(np.array([0]), np.array([len(feature)]), True)[0])
+
+
+def test_features_matrices_and_scores_equal_plain_python(spark):
+    """Features chosen and scores given, by sets of words; toxic texts beyond 64 KiB teach as well."""
+    rows, labels = toxic_rows(300, 5)
+    rng = random.Random(6)
+    rows = [(i, t + " " + prose(rng, 20_000) if i % 50 == 0 else t) for i, t in rows] + [(7, "the of"), (8000, None), (8001, "")]
+    known = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = frame(spark, rows)
+    model = toxicity_pu.train_from_labels(spark, docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    least = {}
+    for i, t in rows:
+        if t and zlib.crc32(str(i).encode()) % 3 != 1:
+            least[i] = min(t, least.get(i, t))
+    positive = [least[i] for i, t in known if t and i in least]
+    unlabelled = list(least.values())
+    prior = sum(t for _, t in known) / len(known)
+    for view in toxicity_pu.VIEWS:
+        in_pos, in_unl = (Counter(f for t in texts for f in plain_features(t, view)) for texts in (positive, unlabelled))
+        strength = {}
+        for f, k in in_pos.items():
+            m, p, u = in_unl[f], k / len(positive), in_unl[f] / len(unlabelled)
+            both = (k + m) / (len(positive) + len(unlabelled))
+            g = 2 * (k * np.log(p / both) + (m * np.log(u / both) if m else 0))
+            if k >= max(2, len(positive) / 400) and max(g, 0) ** 0.5 >= toxicity_pu.WEAK and p >= 4 * min(1, max(0, (u - prior * p) / (1 - prior))):
+                strength[f] = max(g, 0) ** 0.5
+        strong = [f for f, g in strength.items() if g >= toxicity_pu.STRENGTH]
+        want = strong if len(strong) >= toxicity_pu.FEW else strength
+        assert set(model.views[view].hashes.tolist()) >= {hash_of(f) for f in strong} and set(model.views[view].hashes.tolist()) <= {hash_of(f) for f in want}
+        assert len(model.views[view].hashes) >= 2
+    offset = -model.cut + np.log(toxicity_pu.THRESHOLD / (1 - toxicity_pu.THRESHOLD))
+    weights = [dict(zip(v.hashes.tolist(), v.weights.tolist(), strict=True)) for v in model.views]
+    hashed: dict = {}
+    for r in toxicity_pu.score(spark, docs, model, ["text"]).collect():
+        z = max(v.bias + sum(w.get(hashed.setdefault(f, hash_of(f)), 0) for f in plain_features(r.text, k)) for k, (v, w) in enumerate(zip(model.views, weights, strict=True)))
+        assert np.isclose(r._score, 1 / (1 + np.exp(-np.clip(z + offset, -30, 30))))
+
+
 def test_no_labels(spark):
     docs = frame(spark, corpus()[:5])
     model = toxicity_pu.train_from_labels(spark, docs, spark.createDataFrame([], "doc_id long, toxic int"))
