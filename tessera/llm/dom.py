@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -168,8 +168,8 @@ class Shapes:
 
 
 def digest(text: str) -> int:
-    """Digest of a text with its white space collapsed."""
-    return zlib.crc32(" ".join(text.split()).encode("utf-8", "surrogatepass")) + 1
+    """Digest of a text with its white space collapsed: 63 bits, never 0."""
+    return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1 | 1
 
 
 #: cells of the table of two child lists; longer lists are halved until their tables are as small

@@ -61,7 +61,7 @@ def within(tree: dom.Tree) -> list[bool]:
 
 
 def regions(tree: dom.Tree) -> tuple[list[bool], list[bool]]:
-    """For each node: it stands in markup that holds no main text; it stands in the article that markup alone chooses."""
+    """For each node: it stands in markup that holds no main text; it stands in an article or a main element that markup alone chooses."""
     n = len(tree.tag)
     inside = within(tree)
     dropped = [False] * n
@@ -72,12 +72,14 @@ def regions(tree: dom.Tree) -> tuple[list[bool], list[bool]]:
     for node in range(n - 1, 0, -1):
         length[node] += 0 if dropped[node] or tree.tag[node] else len(tree.text[node])
         length[tree.parent[node]] += length[node]
-    best = [max((k for k in range(1, n) if tree.tag[k] == tag and not dropped[k] and length[k]), key=lambda k: length[k], default=None) for tag in ("article", "main")]
-    root = next((b for b in best if b is not None), None)
+    # Articles of a main element that hold half of its text or more speak for it; otherwise the whole of it counts.
+    told = [0] * n
+    for node in range(n - 1, 0, -1):
+        told[tree.parent[node]] += length[node] if tree.tag[node] == "article" else told[node]
     article = [False] * n
-    if root is not None:
-        for node in range(root, n):
-            article[node] = node == root or article[tree.parent[node]]
+    for node in range(1, n):
+        own = tree.tag[node] == "article" or tree.tag[node] == "main" and 2 * told[node] < length[node]
+        article[node] = article[tree.parent[node]] or (own and length[node] > 0 and not dropped[node])
     return dropped, article
 
 
@@ -85,7 +87,7 @@ def main_text(tree: dom.Tree, template: list[bool], compared: bool = False) -> s
     """Blocks of the page's content in page order, white space collapsed, joined by a space.
 
     Content of a page whose host's slots were compared is all text but the template and
-    what markup drops; of any other page, the article if it has one."""
+    what markup drops; of any other page, its articles and main elements if it has any."""
     dropped, article = regions(tree)
     only = not compared and any(article)
     blocks, held = [], []
@@ -172,8 +174,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Returns page_id, url and text.  A null or empty page has the empty text.  Pages
     without a host in their url, and hosts of too few different pages, have no
-    template; their text is told by markup alone: the longest article, else the longest main
-    element, else all that is not dropped.  Copies of the pivot tell nothing
+    template; their text is told by markup alone: all articles and main elements (of a main element
+    whose articles hold half of its text, these), else all that is not dropped.  Copies of the pivot tell nothing
     about its slots and are not counted.  Repeated rows are pages of their own.
     """
     ship(spark)

@@ -70,6 +70,27 @@ def test_slots_choose_the_content_of_pages_with_articles(spark):
     assert {r.page_id: r.text for r in wrapper.extract(spark, rows_of(spark, rows)).collect()} == want
 
 
+def test_without_the_template_notices_stay(spark, monkeypatch):
+    """Ablation: the same pages without what alignment says about their slots."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice("red green blue white black".split()) for _ in range(n))
+    rows, want = [], {}
+    for i in range(14):
+        title, body, extra = words(3), words(25), words(9)
+        rows.append((i, f"http://blocks.example/{i}", f"<body><div><div>Shop at our sister site today</div><h1>{title}</h1><div>{body}</div><div>All prices without warranty</div></div><div>{extra}</div></body>"))
+        want[i] = f"{title} {body} {extra}"
+    assert {r.page_id: r.text for r in wrapper.extract(spark, rows_of(spark, rows)).collect()} == want
+    monkeypatch.setattr(wrapper, "LEAST_PAGES", 10**6)
+    without = {r.page_id: r.text for r in wrapper.extract(spark, rows_of(spark, rows)).collect()}
+    assert all("sister site" in t and "without warranty" in t for t in without.values())
+
+
+def test_digests_have_63_bits():
+    found = [dom.digest(f"text {k}") for k in range(2000)]
+    assert len(set(found)) == 2000 and all(0 < d < 1 << 63 for d in found) and max(found) > 1 << 60
+    assert dom.digest(" a\n b ") == dom.digest("a b")
+
+
 def test_shared_paragraph_of_a_small_host_stays(spark):
     rng, shared = random.Random(6), "This paragraph of more than forty characters is shared by all five pages"
     pages = [page(rng, "small.example", extra=f"<p>{shared}</p>") for _ in range(5)]
@@ -90,7 +111,9 @@ def test_empty(spark):
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
     ("<body class='no-sidebar'><div class='has-sidebar'><article>x</article><div class='side sidebar-left'>no</div></div></body>", "x"), ("<div id=with_nav>x</div><div class=top-nav>no</div>", "x"),
     ("<p title='a hidden class=ad gem' data-hidden>x</p><p hidden>no</p>", "x"),
-    ("<article>x", "x"), ("</div></p>a<", "a<"), ("<article><p>short</p></article><article><p>a much longer one</p></article>", "a much longer one"),
+    ("<article>x", "x"), ("</div></p>a<", "a<"), ("<div>no</div><article><p>short</p></article><article><p>a much longer one</p></article>", "short a much longer one"),
+    ("<main><article>a teaser</article><div>the long text of the page itself</div></main><div>no</div>", "a teaser the long text of the page itself"),
+    ("<main><article>the long text of the page itself</article><div>no more</div></main>", "the long text of the page itself"),
 ])
 def test_reader(source, text):
     tree = dom.parse(source)
