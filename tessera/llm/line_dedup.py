@@ -6,7 +6,13 @@ shards by hash; each shard is built in its own task into a minimal perfect hash
 with three dense arrays in its order: 64-bit fingerprints, document counts and
 largest ids.  Documents then probe the arrays in one more pass without any join
 or shuffle of lines.  Shards are broadcast in groups of bounded size; further
-groups are chained as further passes over the rows, which carry a bit a line.
+groups are further passes over the rows, which carry a bit a line.  After ``CHAINED`` passes the
+rows are written down and those groups given up, so the driver and the executors hold a
+bounded number of them however many keys there are.
+
+Only keys that documents repeat often enough are built in: an index of all distinct
+lines would hold mostly keys that drop nothing, at 25 bytes each.  So the count of a key found
+always reaches the limit, and the probe's look at it is a guard, not a second decision.
 
 A key's slot comes from one hash family and its fingerprint from another, so a
 line outside the shard is told apart by all 64 bits.
@@ -27,6 +33,8 @@ from tessera.runtime import materialise, ship
 SHARD_KEYS = 1 << 16
 #: keys broadcast at once; about 25 bytes each
 GROUP_KEYS = 1 << 21
+#: passes in one chain of Python workers, and so groups held at a time
+CHAINED = 4
 #: bits of a level of the perfect hash, for each key that reaches it
 GAMMA = 2.0
 #: rows without doc_id count as below every id
@@ -244,7 +252,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_d
     Returns the columns of ``docs`` with ``text`` rewritten, and _n_lines and
     _n_dropped.  Null and empty texts have one empty line and come back empty.  A
     line repeated in one row counts once for that row.  Rows without doc_id count
-    as below every id.
+    as below every id.  Texts of any length are read whole; an empty table gives none.
     """
     ship(spark)
     texts = docs.select("doc_id", "text")
@@ -256,11 +264,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_d
     at_once = max(1, group_keys // shard_keys)
     groups = [(k, min(k + at_once, n)) for k in range(0, n, at_once)]
     out_type = T.StructType(docs.schema.fields)
-    out = docs
+    out, shared = docs, []
     for k, (lo, hi) in enumerate(groups):
+        if len(shared) == CHAINED:
+            out = materialise(spark, out)
+            for old in shared:
+                old.unpersist()
+            shared = []
         held = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in shards.filter((F.col("shard") >= lo) & (F.col("shard") < hi)).collect()]
         first_pass, last_pass = k == 0, k == len(groups) - 1
         added = [T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())] if last_pass else [T.StructField("_lines", T.BinaryType())]
-        run = _probe(spark.sparkContext.broadcast(held), n, min_chars, min_docs, columns, first_pass, last_pass)
+        shared.append(spark.sparkContext.broadcast(held))
+        run = _probe(shared[-1], n, min_chars, min_docs, columns, first_pass, last_pass)
         out = out.mapInArrow(run, T.StructType([*out_type.fields, *added]))
     return out
