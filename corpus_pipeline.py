@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, near_dup, tier_pack, toxicity_pu
 from tessera.llm.rows import unwrap, wrap
-from tessera.runtime import configure, materialise, spread, table
+from tessera.runtime import clear_scratch, configure, materialise, scratch_count, spread, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each but the last is written and read again."""
+    """All stages over the documents of ``sf_dir``; each but the last is written and read again, and
+    what a stage wrote for itself is deleted once its rows are written."""
     docs = spread(spark, table(configure(spark), sf_dir, "documents"))
+    before = scratch_count(spark)
     for _, stage in STAGES[:-1]:
         docs = materialise(spark, stage(spark, docs, sf_dir))
+        clear_scratch(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
