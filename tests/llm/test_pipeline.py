@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tessera.llm import toxicity_pu, tokens
+from tessera.runtime import scratch_count
 from tests.llm import test_decontaminate, test_line_dedup, test_near_dup
 from tests.llm.helpers import CLASHES, corpus, frame
 from tests.llm.test_learned import toxic_rows
@@ -82,7 +83,9 @@ def test_stages_equal_brute_force(spark, inputs, tmp_path):
 
 def test_run_gives_the_stages_result(spark, inputs):
     folder, _ = inputs
+    before = scratch_count(spark)
     out = corpus_pipeline.run(spark, folder)
+    assert scratch_count(spark) == before + 1
     assert {"doc_id", "ids", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
 
 
