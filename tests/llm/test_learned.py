@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -111,23 +112,34 @@ def test_no_labels(spark):
     assert {r._score >= 0.7 for r in toxicity_pu.score(spark, docs, model, ["doc_id"]).collect()} == {False}
 
 
-def brute_weights(rows, targets):
-    """Log weights by counting word and word-pair buckets one by one."""
-    import pyarrow as pa
+M64 = (1 << 64) - 1
 
-    from tessera.llm import textkernel as tk
 
+def mixed(x):
+    """The 64-bit finaliser in plain integers."""
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M64
+    return x ^ x >> 31
+
+
+def word_hash(word, known={}):  # noqa: B006
+    if word not in known:
+        (chunk,) = tk.chunks(pa.array([word], pa.string()))
+        known[word] = int(chunk.hashes(np.array([0]), np.array([len(word.encode())]), False)[0])
+    return known[word]
+
+
+def brute_weights(rows, targets, bits):
+    """Log weights by counting word and word-pair buckets one by one, with plain splitting and integers."""
     per_row = []
     for _, text in rows:
-        (chunk,) = tk.chunks(pa.array([text], pa.string()))
-        per_row.append(resample.buckets(chunk)[0])
-    raw, target = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
-    for (i, _), found in zip(rows, per_row, strict=True):
-        np.add.at(raw, found, 1)
-        if i in targets:
-            np.add.at(target, found, 1)
-    logs = [np.log((x + 1) / (x.sum() + resample.BUCKETS)) for x in (target, raw)]
-    return [(logs[0] - logs[1])[found].sum() for found in per_row]
+        words = [word_hash(w) for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+        pairs = [mixed((a * 0xA0761D6478BD642F + b) & M64) for a, b in zip(words, words[1:], strict=False)]
+        per_row.append([h >> (64 - bits) for h in words + pairs])
+    raw = Counter(b for found in per_row for b in found)
+    target = Counter(b for (i, _), found in zip(rows, per_row, strict=True) if i in targets for b in found)
+    logs = [{b: np.log((x[b] + 1) / (x.total() + (1 << bits))) for b in raw} for x in (target, raw)]
+    return [sum(logs[0][b] - logs[1][b] for b in found) for found in per_row]
 
 
 def test_weights_and_sample(spark):
@@ -138,12 +150,27 @@ def test_weights_and_sample(spark):
     out = resample.resample(spark, frame(spark, rows), ids, 0.8).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     got = sorted(((r.doc_id, r.log_weight) for r in out), key=key)
-    want = sorted(zip([i for i, _ in rows], brute_weights(rows, targets), strict=True), key=key)
-    assert np.allclose([w for _, w in got], [w for _, w in want])
+    want = sorted(zip([i for i, _ in rows], brute_weights(rows, targets, resample.LEAST_BITS), strict=True), key=key)
+    assert np.allclose([w for _, w in got], [w for _, w in want], atol=1e-4)
     assert sum(r.kept for r in out) == round(0.8 * len(rows))
     assert not any(r.kept for r in out if r.doc_id and 100 <= r.doc_id < 120)
 
 
+def test_models_grow_with_the_documents(spark, monkeypatch):
+    """More documents have more buckets, and more target ids than are broadcast all count."""
+    assert [resample.bucket_bits(n) for n in (0, 1 << 16, (1 << 18) - 1, 1 << 18, 1 << 36)] == [15, 15, 15, 16, 25]
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 20)) for i in range(60)] + [(None, "and"), (3, "the of")]
+    targets = set(range(0, 60, 2))
+    ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    monkeypatch.setattr(resample, "TARGET_ROWS", 5)
+    monkeypatch.setattr(resample, "GROWS_FROM", 0)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = sorted(((r.doc_id, r.log_weight) for r in resample.resample(spark, frame(spark, rows), ids).collect()), key=key)
+    want = sorted(zip([i for i, _ in rows], brute_weights(rows, targets, resample.bucket_bits(len(rows))), strict=True), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([w for _, w in got], [w for _, w in want], atol=1e-4)
+
+
 def test_sampling_follows_the_weights(spark):
     """Equal weights: every row is as likely; noise comes from the id, so a seed repeats itself."""
     docs = frame(spark, [(i, "") for i in range(400)], clashes=False)
