@@ -61,6 +61,18 @@ def test_best_fit_holds_every_id_once(lengths):
     assert all(sum(p[2] for p in r) <= 512 for r in rows)
 
 
+@settings(max_examples=150, deadline=None)
+@given(LENGTHS)
+def test_best_fit_fills_rows_as_a_plain_search_does(lengths):
+    rooms = []
+    for n in sorted((min(512, n - at) for n in lengths for at in range(0, n, 512)), reverse=True):
+        fitting = [r for r in rooms if r >= n]
+        if fitting:
+            rooms.remove(min(fitting))
+        rooms.append((min(fitting) if fitting else 512) - n)
+    assert sorted(512 - sum(p[2] for p in r) for r in token_pack.best_fit(lengths, 512)) == sorted(rooms)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.booleans(), st.integers(1, 100)), max_size=80))
 def test_room_tree_finds_the_least_room(steps):
