@@ -288,6 +288,26 @@ def hash_mm3_xx64(t: Tables):
     )
 
 
+#: xxHash64 of a 64-bit number, seed 42, in 64-bit steps; null keeps the seed
+_XX64 = """
+WITH n AS (SELECT c_custkey, nullif(c_custkey % 7, 0) AS key, CAST(18446744073709551616 AS UHUGEINT) AS m, CAST(11400714785074694791 AS UHUGEINT) AS p1, CAST(14029467366897019727 AS UHUGEINT) AS p2,
+    CAST(1609587929392839161 AS UHUGEINT) AS p3, CAST(9650029242287828579 AS UHUGEINT) AS p4, CAST(2870177450012600261 AS UHUGEINT) AS p5 FROM customer),
+a AS (SELECT *, (CAST(coalesce(key, 0) AS UHUGEINT) * p2) % m AS k FROM n),
+b AS (SELECT *, ((k * 2147483648) % m + k // 8589934592) * p1 % m AS r FROM a),
+c AS (SELECT *, xor((42 + p5 + 8) % m, r) AS h0 FROM b),
+d AS (SELECT *, ((((h0 * 134217728) % m + h0 // 137438953472) * p1) % m + p4) % m AS h1 FROM c),
+e AS (SELECT *, (xor(h1, h1 // 8589934592) * p2) % m AS h2 FROM d),
+f AS (SELECT *, (xor(h2, h2 // 536870912) * p3) % m AS h3 FROM e),
+g AS (SELECT c_custkey, key, CAST(xor(h3, h3 // 4294967296) AS HUGEINT) AS h FROM f)
+SELECT c_custkey, CASE WHEN key IS NULL THEN 42 WHEN h >= 9223372036854775808 THEN CAST(h - 18446744073709551616 AS BIGINT) ELSE CAST(h AS BIGINT) END AS xx_long FROM g"""
+
+
+@query(_XX64)
+def hash_xx64_long(t: Tables):
+    """xxHash64 of numbers and nulls."""
+    return t.customer.select("c_custkey", F.xxhash64(F.nullif(F.col("c_custkey") % 7, F.lit(0)).cast("long")).alias("xx_long"))
+
+
 @query("SELECT c_custkey, c_custkey * 31 + c_nationkey AS two, (c_custkey * 31 + coalesce(nullif(c_nationkey, 3), 0)) * 31 + 1 AS three FROM customer")
 def hash_combine(t: Tables):
     k, n = F.col("c_custkey"), F.col("c_nationkey")
