@@ -104,7 +104,9 @@ def judge(spark: SparkSession, docs: DataFrame, host: str = "source", limit: flo
 
     Returns doc_id, the measures, base_failed, host_rejected and kept.  A null text
     counts as empty: no words, so it fails.  Rows without a host have no host
-    verdict.  Repeated rows count as often as they stand there.
+    verdict.  Repeated rows count as often as they stand there.  A host whose rate is
+    just ``limit`` is rejected.  Texts of any length are measured whole; an empty table
+    gives none; other columns, whatever their names, are not read.
     """
     measured = materialise(spark, measure(docs, host))
     names = [f"rate_{x}" for x in rules()]

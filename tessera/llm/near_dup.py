@@ -452,7 +452,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, num: in
     Null, empty and blank texts have the empty set and link with nothing.  Rows
     of equal texts are one class; rows that repeat a doc_id are copies of one
     document and share its component.  A row without doc_id links with nothing:
-    its component_id is null and it is kept.
+    its component_id is null and it is kept.  Texts of any length are compared
+    whole, a similarity of just num / den links, and an empty table gives none.
     """
     ship(spark)
     depth = depth or (8 if num / den >= 0.84 else 7)

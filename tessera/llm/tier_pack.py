@@ -157,7 +157,10 @@ def pack_tiers(spark: SparkSession, docs: DataFrame, end_id: int = 1, path: str
     end id alone.  Returns one row a piece: doc_id, start (the document's ids before
     it), length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset
     in the sequence, tier (the sequence's length) and step_group.  Rows that repeat
-    a doc_id are documents of their own; a null doc_id is carried.
+    a doc_id are documents of their own; a null doc_id is carried.  Texts of any
+    length are cut without losing an id; ties between pieces of one length follow
+    from the order of reading alone; an empty table gives no pieces; other columns
+    are not read.
     """
     ship(spark)
     return docs.select("doc_id", "text").mapInArrow(_pack_partition(end_id, path, tiers, group_ids, step_ids), SCHEMA)

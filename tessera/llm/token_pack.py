@@ -135,7 +135,9 @@ def pack_matrices(spark: SparkSession, docs: DataFrame, context: int = CONTEXT,
     segment) of the segments, cu_seqlens (cumulative segment lengths from 0),
     input_ids and position_ids (little-endian unsigned 32-bit, ``context`` of each;
     padding is ``end_id`` at position 0).  Rows that repeat a doc_id are documents of
-    their own; a null doc_id is carried.
+    their own; a null doc_id is carried.  Texts of any length are cut without losing
+    an id; documents of equal length go in the order of reading; an empty table gives
+    no rows; other columns are not read.
     """
     ship(spark)
     return docs.select("doc_id", "text").mapInArrow(_pack_partition(end_id, path, context, group_ids), SCHEMA)

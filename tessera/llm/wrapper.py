@@ -177,6 +177,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     template; their text is told by markup alone: all articles and main elements (of a main element
     whose articles hold half of its text, these), else all that is not dropped.  Copies of the pivot tell nothing
     about its slots and are not counted.  Repeated rows are pages of their own.
+    Pages of any length and depth are read whole; an empty table gives none.
     """
     ship(spark)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
