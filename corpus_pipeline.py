@@ -30,7 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Repeated lines go; n_chars follows the new text.
 
     Every row stays; a null or empty text comes back empty.  Of rows that tie on the largest doc_id
-    all keep the line; other columns are carried."""
+    all keep the line; texts of any length are split whole; an empty table gives none; other columns,
+    whatever their names, are carried."""
     done = unwrap(line_dedup.dedup_lines(configure(spark), wrap(docs)), docs.columns)
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -39,7 +40,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8.
 
     It is that of the smallest doc_id; of rows that repeat it, the one of the least text.  Rows
-    without words and rows without doc_id all stay; other columns are carried."""
+    without words and rows without doc_id all stay.  Texts of any length are compared whole, a
+    similarity of just 0.8 links, an empty table gives none; other columns, whatever their names, are carried."""
     return unwrap(near_dup.drop_near_duplicates(configure(spark), wrap(docs), 5, 80, 100), docs.columns)
 
 
@@ -48,7 +50,8 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     those with one word in twenty inside items shorter than that.
 
     Null and empty texts have no words and stay, as all do with an empty benchmark; items without
-    item_id count; other columns are carried."""
+    item_id count.  Texts of any length are read whole, rows that repeat are searched on their own, just
+    one word in twenty is enough; other columns, whatever their names, are carried."""
     found = decontaminate.find_overlap(configure(spark), wrap(docs), table(spark, sf_dir, "benchmark"), nameless=True)
     return unwrap(found.filter(~decontaminate.leaked()), docs.columns)
 
@@ -56,7 +59,8 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' ids, packed: one row a piece.
 
-    A null or empty text is its end id; rows that repeat a doc_id are documents of their own."""
+    A null or empty text is its end id; rows that repeat a doc_id are documents of their own.
+    Texts of any length are cut without losing an id; an empty table gives no pieces; other columns are not read."""
     return tier_pack.pack_tiers(configure(spark), docs)
 
 
