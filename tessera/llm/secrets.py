@@ -9,16 +9,16 @@ bins of symbols, runs about the middle of the alphabet, and serial correlation.
 Their combined p-value says how far a token is from random.
 
 False discoveries are controlled among what is *reported*: the null hypothesis is
-ordinary text.  Every document gives one piece of its own text for one encoding,
-with the characters outside the alphabet left out, and the battery measures these
-pieces as it measures candidates; so the corpus itself says, by encoding and length,
-how random text looks.  A candidate's p-value under that null is the probability that
+ordinary text.  The whole text of every document, but for candidates, is cut into pieces
+for each encoding, with the characters outside the alphabet left out, and the battery
+measures all these pieces as it measures candidates; so the whole corpus says, by
+encoding and length, how random text looks.  A candidate's p-value under that null is the probability that
 a piece of text of its encoding and length looks as random, and Benjamini and
 Hochberg's rule chooses the discoveries within each stratum of encoding and length:
 of the reported tokens a share ``ALPHA`` is expected to be text.  Short tokens and
 small alphabets look less unlike text, so there more evidence is asked.  Equal tokens
 are one test.  Moments of text and p-values of tokens are gathered by stratum in
-tables of fixed size, so the whole corpus takes part and nothing unbounded is gathered.
+tables of fixed size, so nothing unbounded is gathered, and pieces are never written down.
 """
 
 from __future__ import annotations
@@ -50,14 +50,21 @@ ENCODINGS = (
 ALPHA = 0.05
 #: steps of the histogram for each power of ten, and its length
 STEPS, LEVELS = 8, 160
-#: shortest and longest piece of text measured for the null, and the characters it is drawn from
-SHORTEST, LONGEST, DRAWN = 20, 64, 800
+#: shortest and longest length at which text is cut for the null, and all between in the order they are taken
+SHORTEST, LONGEST = 20, 64
+LENGTHS = tuple(SHORTEST + 7 * k % (LONGEST - SHORTEST + 1) for k in range(LONGEST - SHORTEST + 1))
+#: symbols of text in a block
+BLOCK = 10 * LONGEST
 #: least standard deviation of the null, as few pieces vary little by luck
 LEAST_SPREAD = 0.25
 #: bins of the coarse test of uniformity
 COARSE = 5
+#: letters that stand for bins, consecutive in ASCII and as many as the largest alphabet has symbols
+LETTERS = "".join(map(chr, range(48, 112)))
 #: matches whose places are summed together
 PLACES = 512
+#: places between the beginnings of two copies of the prose
+PROSE_STEP = 16
 #: ordinary prose that stands for text where a corpus has none
 PROSE = (
     "In the morning the children walked along the river to the old mill, where Mr Miller sold bread for 25 cents a loaf and told them stories of the years before 1900. When it rained they "
@@ -117,70 +124,102 @@ def _encoding(token: Column) -> Column:
     return F.coalesce(*(F.when(token.rlike(pattern) if pattern else F.lit(True), k) for k, (_, pattern, _) in enumerate(ENCODINGS)))
 
 
+def _written(encoding: int) -> tuple[str, list[int]]:
+    """The characters an encoding is written in, capitals of hex and the other two of base64 included, and their symbols."""
+    symbols = ENCODINGS[encoding][2]
+    more = {1: ("ABCDEF", 10), 3: ("-_", 62)}.get(encoding, ("", 0))
+    return symbols + more[0], [*range(len(symbols)), *range(more[1], more[1] + len(more[0]))]
+
+
+def _cells(encoding: int, bins: int) -> str:
+    """For each character of an encoding the letter of its symbol's bin."""
+    return "".join(LETTERS[v * bins // len(ENCODINGS[encoding][2])] for v in _written(encoding)[1])
+
+
+def _widths(encoding: int, bins: int) -> list[int]:
+    """How many symbols each bin holds."""
+    size = len(ENCODINGS[encoding][2])
+    return [sum(v * bins // size == b for v in range(size)) for b in range(bins)]
+
+
+def _normal(chi: str, bins: str) -> str:
+    """Chi-squared over ``bins`` bins as a normal variable."""
+    return f"(power(greatest(0D, {chi}) / ({bins} - 1), 1D / 3) - (1 - 2D / (9 * ({bins} - 1)))) / sqrt(2D / (9 * ({bins} - 1)))"
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds n, stratum, p and far to rows with ``token`` and ``encoding``, and drops the token.
 
     p is the smallest p of the tests (uniformity is tested twice) times four, against a random token; far is
     the root of -log10 p, about normal for text.  Symbols are counted by the lengths of replaced strings and
-    the lagged products come from one array, so the cost is linear in the token's length."""
-    tokens = tokens.withColumn("n", F.char_length("token"))
-    size, symbols = _of_encoding(len(s) for _, _, s in ENCODINGS), _of_encoding(s for _, _, s in ENCODINGS)
-    written = F.when(F.col("encoding") == 1, F.lower("token")).otherwise(F.translate("token", "-_", "+/"))
-    tokens = tokens.withColumns({"size": size, "symbols": symbols, "written": written}).drop("token")
-    # translate() takes its strings as constants, so there is one for each encoding.
-    sides = F.coalesce(*(F.when(F.col("encoding") == k, F.translate("written", s, "L" * (len(s) // 2) + "H" * (len(s) - len(s) // 2))) for k, (_, _, s) in enumerate(ENCODINGS)))
-    tokens = tokens.withColumns(
-        {
-            "held": F.expr("transform(sequence(1, size), k -> n - char_length(replace(written, substring(symbols, k, 1), '')))"),
-            "sides": sides,
-            "x": F.expr("transform(slice(split(written, ''), 1, n), c -> cast(instr(symbols, c) - 1 as double))"),
-        }
-    ).drop("written", "symbols")
-    # Uniformity over few bins, which part cases and digits, and over many.  Expected counts follow the number of symbols in each.
-    fine = "greatest(2, least(size, n div 2))"
-    chi = """aggregate(transform(sequence(0, {0} - 1), b -> named_struct('lo', cast(ceil(b * size / {0}) as int), 'hi', cast(ceil((b + 1) * size / {0}) as int))), 0D,
-        (s, r) -> s + power(aggregate(slice(held, r.lo + 1, r.hi - r.lo), 0, (a, v) -> a + v) - n * (r.hi - r.lo) / cast(size as double), 2) / (n * (r.hi - r.lo) / cast(size as double)))"""
-    z_chi = "(power({1} / ({0} - 1), 1D / 3) - (1 - 2D / (9 * ({0} - 1)))) / sqrt(2D / (9 * ({0} - 1)))"
+    the lagged products come from one array, so the cost is linear in the token's length.  The cheapest test
+    comes first: once one gives 0, so is p, and what would follow is not computed."""
+    sizes, each = [len(s) for _, _, s in ENCODINGS], range(len(ENCODINGS))
+    tokens = tokens.withColumns({"n": F.char_length("token"), "size": _of_encoding(sizes), "written": _of_encoding(_written(k)[0] for k in each)})
+    # Uniformity over few bins, which part cases and digits, and over many.  Expected counts follow the number of
+    # symbols in each bin; chi-squared is the sum of squared counts over expected ones, less n.
+    tokens = tokens.withColumns({"cells": _of_encoding(_cells(k, COARSE) for k in each), "bins": F.expr("cast(greatest(2, least(size, n div 2)) as int)")})
+    tokens = tokens.withColumns({"few": F.expr("translate(token, written, cells)"), "widths": _of_encoding(F.array(*map(F.lit, _widths(k, COARSE))) for k in each)})
+    few = (f"power(n - octet_length(replace(few, '{LETTERS[b]}', '')), 2) / widths[{b}]" for b in range(COARSE))
+    tokens = tokens.withColumn("z_few", F.expr(_normal(f"(({' + '.join(few)}) * size / n - n)", str(COARSE)))).drop("few")
+    left = f"1 - {_cdf('{0}')} > 0"
+    by_bins = lambda of: F.coalesce(*(F.when(F.col("encoding") == k, F.element_at(F.array(*(of(k, bins) for bins in range(2, sizes[k] + 1))), F.col("bins") - 1)) for k in each))
+    open_ = F.expr(left.format("z_few"))
+    tokens = tokens.withColumns({"cells": F.when(open_, by_bins(lambda k, bins: F.lit(_cells(k, bins)))), "widths": F.when(open_, by_bins(lambda k, bins: F.array(*map(F.lit, _widths(k, bins)))))})
+    tokens = tokens.withColumn("many", F.expr("translate(token, written, cells)"))
+    many = f"aggregate(array_distinct(split(many, '')), 0D, (s, c) -> s + power(n - octet_length(replace(many, c, '')), 2) / widths[ascii(c) - {ord(LETTERS[0])}])"
+    tokens = tokens.withColumn("z_many", F.expr(_normal(f"({many} * size / n - n)", "bins"))).drop("many", "cells", "widths", "bins")
+    tokens = tokens.withColumn("z_chi", F.greatest("z_few", "z_many")).drop("z_few", "z_many")
+    tokens = tokens.withColumns({"token": F.when(F.expr(left.format("z_chi")), F.col("token")), "letters": _of_encoding(_cells(k, sizes[k]) for k in each)})
+    tokens = tokens.withColumns({"halves": _of_encoding("".join("LH"[2 * v >= sizes[k]] for v in _written(k)[1]) for k in each), "values": F.expr("translate(token, written, letters)")})
+    tokens = tokens.withColumns({"sides": F.expr("translate(token, written, halves)"), "x": F.expr(f"transform(split(values, ''), c -> ascii(c) - {ord(LETTERS[0])})")})
+    tokens = tokens.drop("token", "written", "size", "letters", "halves", "values")
     tokens = tokens.withColumns(
         {
-            "z_chi": F.greatest(*(F.expr(z_chi.format(bins, chi.format(bins))) for bins in (str(COARSE), fine))),
-            "runs": F.expr("1 + (n - char_length(replace(sides, 'LH', ''))) div 2 + (n - char_length(replace(sides, 'HL', ''))) div 2"),
-            "low": F.expr("n - char_length(replace(sides, 'L', ''))"),
-            "total": F.expr("aggregate(zip_with(held, sequence(0, size - 1), (h, v) -> cast(h as double) * v), 0D, (s, v) -> s + v)"),
-            "squares": F.expr("aggregate(zip_with(held, sequence(0, size - 1), (h, v) -> cast(h as double) * v * v), 0D, (s, v) -> s + v)"),
-            "products": F.expr("aggregate(zip_with(slice(x, 1, n - 1), slice(x, 2, n - 1), (a, b) -> a * b), 0D, (s, v) -> s + v)"),
+            "runs": F.expr("1 + (n - octet_length(replace(sides, 'LH', ''))) div 2 + (n - octet_length(replace(sides, 'HL', ''))) div 2"),
+            "low": F.expr("n - octet_length(replace(sides, 'L', ''))"),
+            "total": F.expr("aggregate(x, 0L, (s, v) -> s + v)"),
+            "squares": F.expr("aggregate(x, 0L, (s, v) -> s + v * v)"),
+            "products": F.expr("aggregate(sequence(0, n - 2), 0L, (s, k) -> s + x[k] * x[k + 1])"),
             "ends": F.expr("x[0] + x[n - 1]"),
         }
-    ).drop("held", "sides", "x")
+    ).drop("sides", "x")
     tokens = tokens.withColumn("mean", F.expr("total / n"))
     tokens = tokens.withColumns({"lagged": F.expr("products - mean * (2 * total - ends) + (n - 1) * mean * mean"), "power": F.expr("squares - n * mean * mean")})
     tokens = tokens.withColumn("mu", F.expr("2D * low * (n - low) / n + 1"))
     tokens = tokens.withColumn("z_runs", F.expr("case when low = 0 or low = n or n < 3 then 9D else abs(runs - mu) / sqrt(greatest((mu - 1) * (mu - 2) / (n - 1), 1e-9)) end"))
     tokens = tokens.withColumn("z_lag", F.expr("case when power <= 1e-9 then 9D else abs(lagged / power + 1D / n) * sqrt(n) end"))
+    # A test that was not made is NULL, which _cdf() takes for the largest z; p is 0 there anyway.
     p = f"least(1D, 4 * least(1 - {_cdf('z_chi')}, 2 * (1 - {_cdf('z_runs')}), 2 * (1 - {_cdf('z_lag')})))"
     tokens = tokens.withColumns({"p": F.expr(p), "stratum": F.expr("encoding * 64 + least(63, cast(2 * log2(n) as int))")})
     tokens = tokens.withColumn("far", F.expr("sqrt(-log10(greatest(p, 1e-19)))"))
-    return tokens.drop("size", "runs", "low", "total", "squares", "products", "ends", "mean", "lagged", "power", "z_chi", "mu", "z_runs", "z_lag")
+    return tokens.drop("runs", "low", "total", "squares", "products", "ends", "mean", "lagged", "power", "z_chi", "mu", "z_runs", "z_lag")
 
 
 def text_pieces(texts: DataFrame) -> DataFrame:
-    """Rows (encoding, token): for each row of ``texts`` (text, seed) one piece of its text outside candidates, in an
-    encoding, place and length that follow from the seed; none where the text is too short.
-
-    Characters beyond the alphabet are left out; words begin with a capital in base64, where names of things look so."""
-    at = F.pmod("seed", F.greatest(F.lit(1), F.char_length("text") - DRAWN + 1)).cast("int") + 1
-    drawn = texts.select(F.xxhash64("seed").alias("seed"), "text").select(F.xxhash64("seed").alias("seed"), F.regexp_replace(F.substring("text", at, F.lit(DRAWN)), CANDIDATE, " ").alias("drawn"))
-    encoding, length = F.pmod("seed", F.lit(len(ENCODINGS))).cast("int"), F.pmod(F.shiftright("seed", 8), F.lit(LONGEST - SHORTEST + 1)).cast("int") + SHORTEST
-    forms = (F.regexp_replace("drawn", "[^0-9]+", ""), F.regexp_replace(F.lower("drawn"), "[^0-9a-f]+", ""), F.regexp_replace(F.upper("drawn"), "[^A-Z2-7]+", ""), F.regexp_replace(F.initcap("drawn"), "[^A-Za-z0-9]+", ""))
-    written = F.coalesce(*(F.when(F.col("encoding") == k, form) for k, form in enumerate(forms)))
-    pieces = drawn.select(encoding.alias("encoding"), length.alias("length"), "drawn").select("encoding", F.substring(written, F.lit(1), F.col("length")).alias("token"))
-    return pieces.filter(F.char_length("token") >= SHORTEST)
+    """Rows (encoding, token): the whole text of each row of ``texts`` (text, seed) outside candidates, in each encoding
+    cut into pieces.  A text is cut into blocks and a block into pieces of one of ``LENGTHS``, which follow each other
+    from block to block; the seed says which is the first.
+
+    Characters beyond the alphabet are left out; words begin with a capital in base64, where names of things look so.
+    Every other character is in one piece: a rest below ``SHORTEST`` goes to the piece before it, and only a text of
+    fewer symbols gives none.  The cost is linear in the length of the text."""
+    turn, letters = F.pmod(F.xxhash64("seed"), F.lit(len(LENGTHS))).cast("int"), F.regexp_replace(F.initcap("text"), CANDIDATE + r"|\P{Alnum}+", "")
+    rows = texts.select(turn.alias("turn"), letters.alias("base64"))
+    rows = rows.withColumns({"base32": F.upper(F.translate("base64", "0189", "")), "hex": F.lower(F.translate("base64", "GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz", ""))})
+    rows = rows.withColumn("decimal", F.translate("hex", "abcdef", ""))
+    written = rows.select("turn", F.posexplode(F.array(*(name for name, _, _ in ENCODINGS))).alias("encoding", "written"))
+    blocks = written.select("turn", "encoding", F.posexplode(F.expr(f"regexp_extract_all(written, '.{{1,{BLOCK}}}(?:.{{1,{SHORTEST - 1}}}$)?', 0)")).alias("nr", "block"))
+    length = F.element_at(F.array(*map(F.lit, LENGTHS)), F.pmod(F.col("turn") + F.col("nr"), F.lit(len(LENGTHS))) + 1)
+    blocks = blocks.select("encoding", "block", F.char_length("block").alias("n"), length.alias("length")).filter(F.col("n") >= SHORTEST)
+    blocks = blocks.withColumn("last", F.expr(f"cast((n - {SHORTEST}) div length as int)"))
+    return blocks.select("encoding", F.explode(F.expr("transform(sequence(0, last), k -> substring(block, k * length + 1, if(k = last, n, length)))")).alias("token"))
 
 
 def _prose(spark: SparkSession) -> DataFrame:
-    """Texts (text, seed) that begin at each place of ``PROSE``, four times."""
-    places = spark.range(4 * (len(PROSE) - LONGEST), numPartitions=1)
-    return places.select(F.concat(F.substring(F.lit(PROSE), F.expr("cast(id div 4 as int)") + 1, F.lit(len(PROSE))), F.lit(" " + PROSE)).alias("text"), F.col("id").alias("seed"))
+    """Texts (text, seed) that begin at each ``PROSE_STEP``-th place of ``PROSE`` and hold all of it."""
+    places = spark.range(0, len(PROSE) - LONGEST, PROSE_STEP, numPartitions=1)
+    return places.select(F.concat(F.substring(F.lit(PROSE), F.expr("cast(id as int)") + 1, F.lit(len(PROSE))), F.lit(" " + PROSE)).alias("text"), F.col("id").alias("seed"))
 
 
 def text_moments(measured: DataFrame) -> dict[int, tuple[float, float]]:
@@ -252,8 +291,7 @@ def scan(spark: SparkSession, docs: DataFrame, alpha: float = ALPHA) -> DataFram
     open_ = spans.filter(F.size("maybe") > 0).select("key", F.explode("maybe").alias("c"))
     tokens = open_.select("key", "c.start", "c.end", F.xxhash64("c.body").alias("same"), _encoding(F.col("c.body")).alias("encoding"), F.col("c.body").alias("token"))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("seed")).union(_prose(spark))
-    measured = materialise(spark, battery(tokens.unionByName(text_pieces(texts), allowMissingColumns=True)))
-    judged = against_text(measured.filter("key is not null"), text_moments(measured.filter("key is null")))
+    judged = against_text(materialise(spark, battery(tokens)), text_moments(battery(text_pieces(texts))))
     levels = discovery_levels(judged.select("stratum", "level", "same", "n").distinct(), alpha)
     kept = judged.filter(F.col("level") >= _by_stratum(levels, LEVELS)).select("key", F.struct("start", F.lit(3).alias("rank"), "end", F.lit("random").alias("kind")).alias("s"))
     added = kept.groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("added"))

@@ -106,6 +106,30 @@ def test_battery_equals_plain_loops(spark):
         assert math.isclose(r.far, plain_far(token, encoding), rel_tol=1e-6, abs_tol=1e-6), token
 
 
+def test_null_takes_the_whole_text(spark):
+    """All text but candidates, in every encoding, is measured: the pieces join to it and their moments are those of plain loops."""
+    candidate = "Zx9" * 10
+    texts = ["", "x", "a" * 19, "a b" * 7, secrets.PROSE, f"{secrets.PROSE} <{candidate}> {secrets.PROSE * 3}", "to be " * 1_000 + "1234567890" + " é 0 b" * 150]
+    fars = {}
+    for seed, text in enumerate(texts):
+        rows = spark.createDataFrame([(text, seed)], "text string, seed long")
+        pieces = secrets.text_pieces(rows).collect()
+        words = "".join(w.capitalize() for w in text.replace(candidate, "").split(" "))
+        letters = re.sub("[^A-Za-z0-9]", "", words)
+        forms = (re.sub("[^0-9]", "", letters), re.sub("[^0-9a-f]", "", letters.lower()), re.sub("[^A-Z2-7]", "", letters.upper()), letters)
+        for encoding, form in enumerate(forms):
+            own = [r.token for r in pieces if r.encoding == encoding]
+            assert "".join(own) == (form if len(form) >= secrets.SHORTEST else "")
+            assert all(secrets.SHORTEST <= len(t) < secrets.LONGEST + secrets.SHORTEST for t in own)
+            for t in own:
+                fars.setdefault(64 * encoding + int(2 * math.log2(len(t))), []).append(plain_far(t, encoding))
+    assert len(fars) >= 14 and sum(map(len, fars.values())) >= 400
+    rows = spark.createDataFrame(list(zip(texts, range(len(texts)))), "text string, seed long")
+    moments = secrets.text_moments(secrets.battery(secrets.text_pieces(rows)))
+    for stratum, known in fars.items():
+        assert math.isclose(moments[stratum][0], sum(known) / len(known), rel_tol=1e-6, abs_tol=1e-6)
+
+
 def test_levels_are_benjamini_hochberg(spark):
     rng = random.Random(5)
     ps = [10 ** -rng.uniform(3, 12) for _ in range(60)] + [rng.random() for _ in range(140)]
