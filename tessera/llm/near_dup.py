@@ -53,6 +53,8 @@ BLOCK_SHINGLES = 1 << 22
 PASSES, DEEP = 4, 24
 #: bits of the filter that keeps unrelated documents out of the shuffle of sets
 FILTER_BITS = 1 << 22
+#: edges that one task connects alone
+FEW_EDGES = 1 << 18
 
 SIG_SCHEMA = "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary"
 
@@ -212,6 +214,21 @@ def _shuffled(c: str) -> F.Column:
     return F.expr(f"((({c} ^ shiftrightunsigned({c}, 32)) * -7046029254386353131L) ^ shiftrightunsigned(({c} ^ shiftrightunsigned({c}, 32)) * -7046029254386353131L, 29)) * -4658895280553007687L")
 
 
+def _connected(edges: DataFrame, node: str, label: str) -> DataFrame:
+    """Components of few edges (a, b) in one task: each node and the smallest node of its component."""
+
+    def run(batches):
+        pairs = [np.stack([c.to_numpy() for c in batch.columns[:2]]) for batch in batches]
+        nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), return_inverse=True)
+        forest = _Forest(len(nodes))
+        for a, b in at.reshape(2, -1).T.tolist():
+            forest.join(forest.find(a), forest.find(b))
+        least = nodes[[forest.find(k) for k in range(len(nodes))]] if len(nodes) else nodes
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=[node, label])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, f"{node} long, {label} long")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) as (node, label), label the smallest node.
 
@@ -219,12 +236,20 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     chain of neighbouring ids.  Each round every name hooks to the smallest name next
     to it, parents are followed once more, and the edges are contracted to the new
     names.  About half of the names or more vanish in a round, whatever the shape.
+    Once ``FEW_EDGES`` edges or fewer are left, one task connects them: a round writes
+    three tables of many small files, and each file has the JVM start processes.
     """
     edges = materialise(spark, edges.select("a", "b"))
+    if edges.count() <= FEW_EDGES:
+        return materialise(spark, _connected(edges, "node", "label"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = nodes.withColumn("label", _shuffled("node"))
     edges = edges.select(_shuffled("a").alias("a"), _shuffled("b").alias("b")).filter("a <> b")
-    while not edges.isEmpty():
+    while left := edges.count():
+        if left <= FEW_EDGES:
+            labels = labels.join(_connected(edges, "label", "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+            labels = materialise(spark, labels)
+            break
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("up"))
         above = parent.select(F.col("x").alias("up"), F.col("up").alias("top"))

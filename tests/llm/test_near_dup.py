@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import near_dup
+from tessera.runtime import scratch_count
 from tests.llm.helpers import LOWER, corpus, frame, space_words
 
 
@@ -94,6 +95,22 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r.label for r in near_dup.components(spark, edges).collect()} == {i: 0 for i in range(501)} | {1000: 1000, 1001: 1000, 2000: 2000}
 
 
+@pytest.mark.parametrize("few", [0, 30, 1 << 18])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    """The same components, whichever way connects the edges; few edges take two tables, however long their chains."""
+    monkeypatch.setattr(near_dup, "FEW_EDGES", few)
+    rng = random.Random(4)
+    pairs = [(rng.randint(-90, 90), rng.randint(-90, 90)) for _ in range(100)] + [(k, k + 1) for k in range(1000, 1060)]
+    up = {x: x for pair in pairs for x in pair}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    before = scratch_count(spark)
+    out = near_dup.components(spark, spark.createDataFrame(pairs, "a long, b long"))
+    assert scratch_count(spark) - before == 2 or few < len(pairs)
+    assert sorted((r.node, r.label) for r in out.collect()) == sorted(up.items())
+
+
 def test_drop_keeps_one_of_each_component(spark):
     rows = corpus()
     from tessera.llm.rows import unwrap, wrap
