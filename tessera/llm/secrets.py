@@ -61,6 +61,8 @@ LEAST_SPREAD = 0.25
 COARSE = 5
 #: letters that stand for bins, consecutive in ASCII and as many as the largest alphabet has symbols
 LETTERS = "".join(map(chr, range(48, 112)))
+#: longest token whose sums fit into one number: 85 squares of a letter are below 2^20
+PACKED = 85
 #: matches whose places are summed together
 PLACES = 512
 #: places between the beginnings of two copies of the prose
@@ -131,9 +133,12 @@ def _written(encoding: int) -> tuple[str, list[int]]:
     return symbols + more[0], [*range(len(symbols)), *range(more[1], more[1] + len(more[0]))]
 
 
-def _cells(encoding: int, bins: int) -> str:
-    """For each character of an encoding the letter of its symbol's bin."""
-    return "".join(LETTERS[v * bins // len(ENCODINGS[encoding][2])] for v in _written(encoding)[1])
+def _cells(encoding: int, bins: int, narrow_first: bool = False) -> str:
+    """For each character of an encoding the letter of its symbol's bin; narrow bins may have the first letters."""
+    widths = _widths(encoding, bins)
+    at = sorted(range(bins), key=widths.__getitem__) if narrow_first else range(bins)
+    letter = dict(zip(at, LETTERS))
+    return "".join(letter[v * bins // len(ENCODINGS[encoding][2])] for v in _written(encoding)[1])
 
 
 def _widths(encoding: int, bins: int) -> list[int]:
@@ -142,6 +147,17 @@ def _widths(encoding: int, bins: int) -> list[int]:
     return [sum(v * bins // size == b for v in range(size)) for b in range(bins)]
 
 
+def _wide(encoding: int, bins: int) -> str:
+    """The first letter of the bins that hold a symbol more than the narrow ones."""
+    widths = _widths(encoding, bins)
+    return chr(ord(LETTERS[0]) + widths.count(min(widths)))
+
+
+def _low(encoding: int) -> str:
+    """A run of characters of the lower half of an encoding's symbols."""
+    return "[" + "".join(c for c, v in zip(*_written(encoding), strict=True) if 2 * v < len(ENCODINGS[encoding][2])) + "]+"
+
+
 def _normal(chi: str, bins: str) -> str:
     """Chi-squared over ``bins`` bins as a normal variable."""
     return f"(power(greatest(0D, {chi}) / ({bins} - 1), 1D / 3) - (1 - 2D / (9 * ({bins} - 1)))) / sqrt(2D / (9 * ({bins} - 1)))"
@@ -165,25 +181,32 @@ def battery(tokens: DataFrame) -> DataFrame:
     left = f"1 - {_cdf('{0}')} > 0"
     by_bins = lambda of: F.coalesce(*(F.when(F.col("encoding") == k, F.element_at(F.array(*(of(k, bins) for bins in range(2, sizes[k] + 1))), F.col("bins") - 1)) for k in each))
     open_ = F.expr(left.format("z_few"))
-    tokens = tokens.withColumns({"cells": F.when(open_, by_bins(lambda k, bins: F.lit(_cells(k, bins)))), "widths": F.when(open_, by_bins(lambda k, bins: F.array(*map(F.lit, _widths(k, bins)))))})
+    many = {"cells": lambda k, bins: _cells(k, bins, True), "wide": _wide, "narrow": lambda k, bins: min(_widths(k, bins))}
+    tokens = tokens.withColumns({c: F.when(open_, by_bins(lambda k, bins, of=of: F.lit(of(k, bins)))) for c, of in many.items()})
     tokens = tokens.withColumn("many", F.expr("translate(token, written, cells)"))
-    many = f"aggregate(array_distinct(split(many, '')), 0D, (s, c) -> s + power(n - octet_length(replace(many, c, '')), 2) / widths[ascii(c) - {ord(LETTERS[0])}])"
-    tokens = tokens.withColumn("z_many", F.expr(_normal(f"({many} * size / n - n)", "bins"))).drop("many", "cells", "widths", "bins")
+    many = "aggregate(array_distinct(split(many, '')), 0D, (s, c) -> s + power(n - octet_length(replace(many, c, '')), 2) / if(c < wide, narrow, narrow + 1))"
+    tokens = tokens.withColumn("z_many", F.expr(_normal(f"({many} * size / n - n)", "bins"))).drop("many", "cells", "widths", "wide", "narrow", "bins")
     tokens = tokens.withColumn("z_chi", F.greatest("z_few", "z_many")).drop("z_few", "z_many")
     tokens = tokens.withColumns({"token": F.when(F.expr(left.format("z_chi")), F.col("token")), "letters": _of_encoding(_cells(k, sizes[k]) for k in each)})
-    tokens = tokens.withColumns({"halves": _of_encoding("".join("LH"[2 * v >= sizes[k]] for v in _written(k)[1]) for k in each), "values": F.expr("translate(token, written, letters)")})
-    tokens = tokens.withColumns({"sides": F.expr("translate(token, written, halves)"), "x": F.expr(f"transform(split(values, ''), c -> ascii(c) - {ord(LETTERS[0])})")})
-    tokens = tokens.drop("token", "written", "size", "letters", "halves", "values")
+    tokens = tokens.withColumns({"half": _of_encoding(map(_low, each)), "values": F.expr("translate(token, written, letters)")})
+    # Runs of the lower half become blanks, and the rest of the token is the upper half.  The numbers of symbols are
+    # those of their letters, as a shift changes neither the serial correlation nor the power.
+    tokens = tokens.withColumns({"sides": F.expr("regexp_replace(token, half, ' ')"), "x": F.expr("transform(split(values, ''), c -> cast(ascii(c) as long))")})
+    tokens = tokens.drop("token", "written", "size", "letters", "half", "values")
+    tokens = tokens.withColumn("gaps", F.expr("octet_length(sides) - octet_length(replace(sides, ' ', ''))"))
+    # Of tokens of at most PACKED symbols one pass keeps, from bit 0, 20, 40 and 56, the products, the squares, the sum and the last symbol.
+    packed = f"aggregate(x, 0L, (s, v) -> (s & {2**56 - 1}L) + v * (shiftright(s, 56) + v * {2**20}L + {2**40 + 2**56}L))"
+    tokens = tokens.withColumn("sums", F.expr(f"if(n <= {PACKED}, {packed}, NULL)"))
     tokens = tokens.withColumns(
         {
-            "runs": F.expr("1 + (n - octet_length(replace(sides, 'LH', ''))) div 2 + (n - octet_length(replace(sides, 'HL', ''))) div 2"),
-            "low": F.expr("n - octet_length(replace(sides, 'L', ''))"),
-            "total": F.expr("aggregate(x, 0L, (s, v) -> s + v)"),
-            "squares": F.expr("aggregate(x, 0L, (s, v) -> s + v * v)"),
-            "products": F.expr("aggregate(sequence(0, n - 2), 0L, (s, k) -> s + x[k] * x[k + 1])"),
+            "runs": F.expr("2 * gaps + 1 - cast(startswith(sides, ' ') as int) - cast(endswith(sides, ' ') as int)"),
+            "low": F.expr("n - octet_length(sides) + gaps"),
+            "total": F.expr("if(sums is null, aggregate(x, 0L, (s, v) -> s + v), shiftright(sums, 40) & 65535L)"),
+            "squares": F.expr("if(sums is null, aggregate(x, 0L, (s, v) -> s + v * v), shiftright(sums, 20) & 1048575L)"),
+            "products": F.expr("if(sums is null, aggregate(sequence(0, n - 2), 0L, (s, k) -> s + x[k] * x[k + 1]), sums & 1048575L)"),
             "ends": F.expr("x[0] + x[n - 1]"),
         }
-    ).drop("sides", "x")
+    ).drop("sides", "gaps", "x", "sums")
     tokens = tokens.withColumn("mean", F.expr("total / n"))
     tokens = tokens.withColumns({"lagged": F.expr("products - mean * (2 * total - ends) + (n - 1) * mean * mean"), "power": F.expr("squares - n * mean * mean")})
     tokens = tokens.withColumn("mu", F.expr("2D * low * (n - low) / n + 1"))
@@ -206,7 +229,7 @@ def text_pieces(texts: DataFrame) -> DataFrame:
     fewer symbols gives none.  The cost is linear in the length of the text."""
     turn, letters = F.pmod(F.xxhash64("seed"), F.lit(len(LENGTHS))).cast("int"), F.regexp_replace(F.initcap("text"), CANDIDATE + r"|\P{Alnum}+", "")
     rows = texts.select(turn.alias("turn"), letters.alias("base64"))
-    rows = rows.withColumns({"base32": F.upper(F.translate("base64", "0189", "")), "hex": F.lower(F.translate("base64", "GHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz", ""))})
+    rows = rows.withColumns({"base32": F.upper(F.regexp_replace("base64", "[0189]+", "")), "hex": F.lower(F.regexp_replace("base64", "[G-Zg-z]+", ""))})
     rows = rows.withColumn("decimal", F.translate("hex", "abcdef", ""))
     written = rows.select("turn", F.posexplode(F.array(*(name for name, _, _ in ENCODINGS))).alias("encoding", "written"))
     blocks = written.select("turn", "encoding", F.posexplode(F.expr(f"regexp_extract_all(written, '.{{1,{BLOCK}}}(?:.{{1,{SHORTEST - 1}}}$)?', 0)")).alias("nr", "block"))

@@ -106,6 +106,23 @@ def test_battery_equals_plain_loops(spark):
         assert math.isclose(r.far, plain_far(token, encoding), rel_tol=1e-6, abs_tol=1e-6), token
 
 
+def test_sums_of_pieces_are_made_in_one_pass(spark):
+    """No piece of text is too long for the sums in one number, and tokens about that length, of the largest letters too, are measured alike."""
+    assert secrets.PACKED >= secrets.LONGEST + secrets.SHORTEST - 1
+    rng, longest = random.Random(9), secrets.PACKED
+    tokens = ["".join(rng.choice(BASE64) for _ in range(k)) for k in (20, longest - 1, longest, longest + 1, 300)]
+    tokens += ["/" * (k - 2) + "A_" for k in (longest, longest + 1)] + ["+/" * (longest // 2) + "x"]
+    rows = spark.createDataFrame([(k, t, 3) for k, t in enumerate(tokens)], "key long, token string, encoding int")
+    for r in secrets.battery(rows).collect():
+        assert math.isclose(r.far, plain_far(tokens[r.key], 3), rel_tol=1e-6, abs_tol=1e-6), tokens[r.key]
+    # Fewer symbols, so that no test is left out: the halves of the alphabet and the sums decide there.
+    for encoding, (_, _, alphabet) in enumerate(secrets.ENCODINGS):
+        own = ["".join(rng.choice(alphabet) for _ in range(k)) for k in (20, 41, longest, longest + 1)] + [(alphabet[-1] * 3 + alphabet[0]) * 9, alphabet * 3]
+        rows = spark.createDataFrame([(k, t, encoding) for k, t in enumerate(own)], "key long, token string, encoding int")
+        for r in secrets.battery(rows).collect():
+            assert math.isclose(r.far, plain_far(own[r.key], encoding), rel_tol=1e-6, abs_tol=1e-6), own[r.key]
+
+
 def test_null_takes_the_whole_text(spark):
     """All text but candidates, in every encoding, is measured: the pieces join to it and their moments are those of plain loops."""
     candidate = "Zx9" * 10
