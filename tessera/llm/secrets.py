@@ -61,8 +61,12 @@ LEAST_SPREAD = 0.25
 COARSE = 5
 #: letters that stand for bins, consecutive in ASCII and as many as the largest alphabet has symbols
 LETTERS = "".join(map(chr, range(48, 112)))
-#: longest token whose sums fit into one number: 85 squares of a letter are below 2^20
-PACKED = 85
+#: symbols in a word, a number whose bytes they and the next symbol are, so that no sum reaches the sign
+WORD = 6
+#: longest token whose words are columns; its sums fit into one number, as 84 squares of a letter are below 2^20
+PACKED = 14 * WORD
+#: a number with 1 in every byte of a word, and one with the highest bit of the bytes of its own symbols
+ONES, HIGHEST = int("01" * (WORD + 1), 16), int("80" * WORD + "00", 16)
 #: matches whose places are summed together
 PLACES = 512
 #: places between the beginnings of two copies of the prose
@@ -153,9 +157,63 @@ def _wide(encoding: int, bins: int) -> str:
     return chr(ord(LETTERS[0]) + widths.count(min(widths)))
 
 
-def _low(encoding: int) -> str:
-    """A run of characters of the lower half of an encoding's symbols."""
-    return "[" + "".join(c for c, v in zip(*_written(encoding), strict=True) if 2 * v < len(ENCODINGS[encoding][2])) + "]+"
+def _edge(encoding: int, bins: int, b: int) -> int:
+    """What brings the symbols of bin ``b`` and above, and no others, to 128 or more when it is added to each byte of a word."""
+    first = -(-b * len(ENCODINGS[encoding][2]) // bins)
+    return (128 - ord(LETTERS[0]) - first) * ONES
+
+
+def _over_words(of) -> str:
+    """The sum of the SQL ``of(word)`` over all words of a token."""
+    return f"if(n <= {PACKED}, {' + '.join(of(f'w{c}') for c in range(PACKED // WORD))}, aggregate(words, 0L, (s, w) -> s + {of('w')}))"
+
+
+def _symbols(term):
+    """What gives for a word the sum of the SQL ``term(symbol, next)`` over its symbols."""
+    byte = lambda w, k: f"(shiftright({w}, {8 * (WORD - k)}) & 255L)"
+    return lambda w: "(" + " + ".join(term(byte(w, k), byte(w, k + 1)) for k in range(WORD)) + ")"
+
+
+def _sums(tokens: DataFrame) -> DataFrame:
+    """Adds to rows with n, ``encoding`` and ``values``, the letters of the symbols: the numbers of symbols from each edge of the coarse
+    bins on (from_1, ...) and in the lower half (low), runs about the middle, and of the letters' codes their total, squares, lagged products and ends.
+
+    ``WORD`` symbols and the next one are the bytes of a number, so that an addition and a count of bits compare them all with
+    an edge.  Words of tokens of at most ``PACKED`` symbols are columns and their sums generated code; longer ones have an array of words."""
+    word = lambda c: f"coalesce(cast(conv(hex(substring(bytes, {c} * {WORD} + 1, {WORD + 1})), 16, 10) as bigint), 0L)"
+    each = range(len(ENCODINGS))
+    tokens = tokens.withColumn("bytes", F.expr(f"concat(cast(values as binary), X'{'00' * WORD}')"))
+    words = {f"w{c}": F.expr(f"if(n > {c * WORD} and n <= {PACKED}, {word(c)}, 0L)") for c in range(PACKED // WORD)}
+    tokens = tokens.withColumns(words | {"words": F.expr(f"if(n > {PACKED}, transform(sequence(0, (n - 1) div {WORD}), c -> {word('c')}), NULL)")}).drop("bytes")
+    edges = {f"edge_{b}": _of_encoding(_edge(k, COARSE, b) for k in each) for b in range(1, COARSE)} | {"middle": _of_encoding(_edge(k, 2, 1) for k in each)}
+    tokens = tokens.withColumns(edges | {"first": F.expr("cast(ascii(values) as long)"), "last": F.expr("cast(ascii(substring(values, n, 1)) as long)")})
+    above = lambda edge: lambda w: f"bit_count(({w} + {edge}) & {HIGHEST}L)"
+    # From bit 0, 20 and 40 the products, the squares and the total of a token whose words are columns; nothing follows its last symbol but zeros.
+    packed = _symbols(lambda x, y: f"{x} * ({y} + {x} * {2**20}L + {2**40}L)")
+    tokens = tokens.withColumns(
+        {f"from_{b}": F.expr(_over_words(above(f"edge_{b}"))) for b in range(1, COARSE)}
+        | {
+            "high": F.expr(_over_words(above("middle"))),
+            "turns": F.expr(_over_words(lambda w: f"bit_count((({w} + middle) ^ shiftleft({w} + middle, 8)) & {HIGHEST}L)")),
+            "sums": F.expr(f"if(n <= {PACKED}, {' + '.join(map(packed, words))}, NULL)"),
+            "ends": F.expr("first + last"),
+        }
+        | {
+            f"long_{name}": F.expr(f"if(n <= {PACKED}, NULL, aggregate(words, 0L, (s, w) -> s + {_symbols(term)('w')}))")
+            for name, term in {"total": lambda x, y: x, "squares": lambda x, y: f"{x} * {x}", "products": lambda x, y: f"{x} * {y}"}.items()
+        }
+        | {"last": F.expr("((last + middle) & 255L) >= 128L")}
+    )
+    tokens = tokens.withColumns(
+        {
+            "low": F.expr("n - high"),
+            "runs": F.expr("turns + 1 - cast(last as int)"),
+            "total": F.expr("coalesce(long_total, shiftright(sums, 40))"),
+            "squares": F.expr(f"coalesce(long_squares, shiftright(sums, 20) & {2**20 - 1}L)"),
+            "products": F.expr(f"coalesce(long_products, sums & {2**20 - 1}L)"),
+        }
+    )
+    return tokens.drop(*words, *edges, "words", "first", "last", "high", "turns", "sums", "long_total", "long_squares", "long_products")
 
 
 def _normal(chi: str, bins: str) -> str:
@@ -167,56 +225,38 @@ def battery(tokens: DataFrame) -> DataFrame:
     """Adds n, stratum, p and far to rows with ``token`` and ``encoding``, and drops the token.
 
     p is the smallest p of the tests (uniformity is tested twice) times four, against a random token; far is
-    the root of -log10 p, about normal for text.  Symbols are counted by the lengths of replaced strings and
-    the lagged products come from one array, so the cost is linear in the token's length.  The cheapest test
-    comes first: once one gives 0, so is p, and what would follow is not computed."""
+    the root of -log10 p, about normal for text.  The cost is linear in the token's length.  Uniformity over
+    many bins comes last: once another test gives 0, so is p, and it is not computed."""
     sizes, each = [len(s) for _, _, s in ENCODINGS], range(len(ENCODINGS))
     tokens = tokens.withColumns({"n": F.char_length("token"), "size": _of_encoding(sizes), "written": _of_encoding(_written(k)[0] for k in each)})
-    # Uniformity over few bins, which part cases and digits, and over many.  Expected counts follow the number of
-    # symbols in each bin; chi-squared is the sum of squared counts over expected ones, less n.
-    tokens = tokens.withColumns({"cells": _of_encoding(_cells(k, COARSE) for k in each), "bins": F.expr("cast(greatest(2, least(size, n div 2)) as int)")})
-    tokens = tokens.withColumns({"few": F.expr("translate(token, written, cells)"), "widths": _of_encoding(F.array(*map(F.lit, _widths(k, COARSE))) for k in each)})
-    few = (f"power(n - octet_length(replace(few, '{LETTERS[b]}', '')), 2) / widths[{b}]" for b in range(COARSE))
-    tokens = tokens.withColumn("z_few", F.expr(_normal(f"(({' + '.join(few)}) * size / n - n)", str(COARSE)))).drop("few")
-    left = f"1 - {_cdf('{0}')} > 0"
-    by_bins = lambda of: F.coalesce(*(F.when(F.col("encoding") == k, F.element_at(F.array(*(of(k, bins) for bins in range(2, sizes[k] + 1))), F.col("bins") - 1)) for k in each))
-    open_ = F.expr(left.format("z_few"))
-    many = {"cells": lambda k, bins: _cells(k, bins, True), "wide": _wide, "narrow": lambda k, bins: min(_widths(k, bins))}
-    tokens = tokens.withColumns({c: F.when(open_, by_bins(lambda k, bins, of=of: F.lit(of(k, bins)))) for c, of in many.items()})
-    tokens = tokens.withColumn("many", F.expr("translate(token, written, cells)"))
-    many = "aggregate(array_distinct(split(many, '')), 0D, (s, c) -> s + power(n - octet_length(replace(many, c, '')), 2) / if(c < wide, narrow, narrow + 1))"
-    tokens = tokens.withColumn("z_many", F.expr(_normal(f"({many} * size / n - n)", "bins"))).drop("many", "cells", "widths", "wide", "narrow", "bins")
-    tokens = tokens.withColumn("z_chi", F.greatest("z_few", "z_many")).drop("z_few", "z_many")
-    tokens = tokens.withColumns({"token": F.when(F.expr(left.format("z_chi")), F.col("token")), "letters": _of_encoding(_cells(k, sizes[k]) for k in each)})
-    tokens = tokens.withColumns({"half": _of_encoding(map(_low, each)), "values": F.expr("translate(token, written, letters)")})
-    # Runs of the lower half become blanks, and the rest of the token is the upper half.  The numbers of symbols are
-    # those of their letters, as a shift changes neither the serial correlation nor the power.
-    tokens = tokens.withColumns({"sides": F.expr("regexp_replace(token, half, ' ')"), "x": F.expr("transform(split(values, ''), c -> cast(ascii(c) as long))")})
-    tokens = tokens.drop("token", "written", "size", "letters", "half", "values")
-    tokens = tokens.withColumn("gaps", F.expr("octet_length(sides) - octet_length(replace(sides, ' ', ''))"))
-    # Of tokens of at most PACKED symbols one pass keeps, from bit 0, 20, 40 and 56, the products, the squares, the sum and the last symbol.
-    packed = f"aggregate(x, 0L, (s, v) -> (s & {2**56 - 1}L) + v * (shiftright(s, 56) + v * {2**20}L + {2**40 + 2**56}L))"
-    tokens = tokens.withColumn("sums", F.expr(f"if(n <= {PACKED}, {packed}, NULL)"))
-    tokens = tokens.withColumns(
-        {
-            "runs": F.expr("2 * gaps + 1 - cast(startswith(sides, ' ') as int) - cast(endswith(sides, ' ') as int)"),
-            "low": F.expr("n - octet_length(sides) + gaps"),
-            "total": F.expr("if(sums is null, aggregate(x, 0L, (s, v) -> s + v), shiftright(sums, 40) & 65535L)"),
-            "squares": F.expr("if(sums is null, aggregate(x, 0L, (s, v) -> s + v * v), shiftright(sums, 20) & 1048575L)"),
-            "products": F.expr("if(sums is null, aggregate(sequence(0, n - 2), 0L, (s, k) -> s + x[k] * x[k + 1]), sums & 1048575L)"),
-            "ends": F.expr("x[0] + x[n - 1]"),
-        }
-    ).drop("sides", "gaps", "x", "sums")
-    tokens = tokens.withColumn("mean", F.expr("total / n"))
+    tokens = tokens.withColumn("letters", _of_encoding(_cells(k, sizes[k]) for k in each))
+    tokens = _sums(tokens.withColumn("values", F.expr("translate(token, written, letters)")).drop("letters"))
+    # Uniformity over few bins, which part cases and digits.  Expected counts follow the number of symbols
+    # in each bin; chi-squared is the sum of squared counts over expected ones, less n.
+    tokens = tokens.withColumn("widths", _of_encoding(F.array(*map(F.lit, _widths(k, COARSE))) for k in each))
+    starts = ["n", *(f"from_{b}" for b in range(1, COARSE)), "0"]
+    few = " + ".join(f"power({starts[b]} - {starts[b + 1]}, 2) / widths[{b}]" for b in range(COARSE))
+    # A shift of the symbols' numbers to the codes of letters changes neither the serial correlation nor the power.
+    tokens = tokens.withColumns({"z_few": F.expr(_normal(f"(({few}) * size / n - n)", str(COARSE))), "mean": F.expr("total / n")}).drop("widths", *starts[1:-1])
     tokens = tokens.withColumns({"lagged": F.expr("products - mean * (2 * total - ends) + (n - 1) * mean * mean"), "power": F.expr("squares - n * mean * mean")})
     tokens = tokens.withColumn("mu", F.expr("2D * low * (n - low) / n + 1"))
     tokens = tokens.withColumn("z_runs", F.expr("case when low = 0 or low = n or n < 3 then 9D else abs(runs - mu) / sqrt(greatest((mu - 1) * (mu - 2) / (n - 1), 1e-9)) end"))
     tokens = tokens.withColumn("z_lag", F.expr("case when power <= 1e-9 then 9D else abs(lagged / power + 1D / n) * sqrt(n) end"))
+    tokens = tokens.drop("runs", "low", "total", "squares", "products", "ends", "mean", "lagged", "power", "mu")
+    others = f"least(1 - {_cdf('z_few')}, 2 * (1 - {_cdf('z_runs')}), 2 * (1 - {_cdf('z_lag')}))"
+    tokens = tokens.withColumns({"others": F.expr(others), "bins": F.expr("cast(greatest(2, least(size, n div 2)) as int)")}).drop("z_few", "z_runs", "z_lag")
+    # Uniformity over many bins, which have one letter each; the counts are the lengths of replaced strings.  All choices
+    # of bins stand in one array: methods of more than 8000 bytes, as with a case for each encoding, are not compiled by the JVM.
+    by_bins = [(k, bins) for k in each for bins in range(2, sizes[k] + 1)]
+    cut = F.array(*(F.struct(F.lit(_cells(k, bins, True)).alias("cells"), F.lit(_wide(k, bins)).alias("wide"), F.lit(min(_widths(k, bins))).alias("narrow")) for k, bins in by_bins))
+    tokens = tokens.withColumn("cut", F.when(F.col("others") > 0, F.element_at(cut, _of_encoding(by_bins.index((k, 2)) - 1 for k in each) + F.col("bins"))))
+    tokens = tokens.withColumns({"many": F.expr("translate(token, written, cut.cells)"), "wide": F.col("cut.wide"), "narrow": F.col("cut.narrow")}).drop("token", "written", "values", "cut")
+    many = "aggregate(array_distinct(split(many, '')), 0D, (s, c) -> s + power(n - octet_length(replace(many, c, '')), 2) / if(c < wide, narrow, narrow + 1))"
+    tokens = tokens.withColumn("z_many", F.expr(_normal(f"({many} * size / n - n)", "bins"))).drop("many", "wide", "narrow", "bins", "size")
     # A test that was not made is NULL, which _cdf() takes for the largest z; p is 0 there anyway.
-    p = f"least(1D, 4 * least(1 - {_cdf('z_chi')}, 2 * (1 - {_cdf('z_runs')}), 2 * (1 - {_cdf('z_lag')})))"
-    tokens = tokens.withColumns({"p": F.expr(p), "stratum": F.expr("encoding * 64 + least(63, cast(2 * log2(n) as int))")})
+    tokens = tokens.withColumns({"p": F.expr(f"least(1D, 4 * least(others, 1 - {_cdf('z_many')}))"), "stratum": F.expr("encoding * 64 + least(63, cast(2 * log2(n) as int))")})
     tokens = tokens.withColumn("far", F.expr("sqrt(-log10(greatest(p, 1e-19)))"))
-    return tokens.drop("runs", "low", "total", "squares", "products", "ends", "mean", "lagged", "power", "z_chi", "mu", "z_runs", "z_lag")
+    return tokens.drop("others", "z_many")
 
 
 def text_pieces(texts: DataFrame) -> DataFrame:

@@ -123,6 +123,25 @@ def test_sums_of_pieces_are_made_in_one_pass(spark):
             assert math.isclose(r.far, plain_far(own[r.key], encoding), rel_tol=1e-6, abs_tol=1e-6), own[r.key]
 
 
+def test_words_of_symbols_are_counted_like_plain_loops(spark):
+    """Counts from each edge, runs and sums of tokens about every border of words, in all encodings; pieces need no array of their symbols."""
+    rng, tokens = random.Random(17), []
+    for encoding, (_, _, alphabet) in enumerate(secrets.ENCODINGS):
+        lengths = (20, 23, 24, 25, 41, secrets.PACKED - 1, secrets.PACKED, secrets.PACKED + 1, 200)
+        tokens += [(encoding, "".join(rng.choice(alphabet) for _ in range(k))) for k in lengths] + [(encoding, alphabet[-1] * k) for k in (secrets.PACKED, secrets.PACKED + 1)]
+    letters = [(k, e, len(t), "".join(secrets.LETTERS[secrets.ENCODINGS[e][2].index(c)] for c in t)) for k, (e, t) in enumerate(tokens)]
+    rows = spark.createDataFrame(letters, "key long, encoding int, n int, values string")
+    out = secrets._sums(rows).collect()
+    assert len(out) == len(tokens)
+    for r in out:
+        encoding, token = tokens[r.key]
+        alphabet = secrets.ENCODINGS[encoding][2]
+        v, x, size = [alphabet.index(c) for c in token], [ord(c) for c in letters[r.key][3]], len(alphabet)
+        assert [r[f"from_{b}"] for b in range(1, secrets.COARSE)] == [sum(a * secrets.COARSE // size >= b for a in v) for b in range(1, secrets.COARSE)]
+        assert r.low == sum(2 * a < size for a in v) and r.runs == 1 + sum((2 * a < size) != (2 * b < size) for a, b in zip(v, v[1:]))
+        assert (r.total, r.squares, r.products, r.ends) == (sum(x), sum(a * a for a in x), sum(a * b for a, b in zip(x, x[1:])), x[0] + x[-1])
+
+
 def test_null_takes_the_whole_text(spark):
     """All text but candidates, in every encoding, is measured: the pieces join to it and their moments are those of plain loops."""
     candidate = "Zx9" * 10
