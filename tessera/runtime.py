@@ -27,6 +27,10 @@ SETTINGS = {
 #: Rows of a small side that may be broadcast; a larger side is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Rows of a task where each takes much time or memory, and the most tasks that are made to keep to it: up to 200
+#: (Spark's default) a shuffle writes its rows as they come, beyond that it collects them in memory to sort them.
+TASK_ROWS, TASKS = 1 << 17, 200
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; returns the session."""
@@ -48,6 +52,12 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def deal_by_rows(df: DataFrame, rows: int, *keys: str, at_least: int = 1) -> DataFrame:
+    """``df``, dealt by distinct-valued ``keys`` into as many tasks as ``rows`` rows need at TASK_ROWS each, but
+    ``at_least`` and at most TASKS.  For narrow rows; adaptive execution would go by their bytes, which are few."""
+    return df.repartition(max(at_least, min(TASKS, -(-rows // TASK_ROWS))), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that Python tasks can
     import it whatever their working folder is."""

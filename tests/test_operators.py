@@ -169,6 +169,24 @@ def test_nulls_go_to_every_partition(spark):
     assert sorted(r["partition"] for r in dealt if r.k is None) == [0, 1, 2]
 
 
+def test_orders_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    from tessera import runtime
+    from tessera.plans import catalogue
+
+    def grouped_over():
+        """What the lowest aggregate by order key reads, and the result."""
+        df = catalogue.queries()["exchange_replicates_nulls"](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+        return plan[max(k for k, line in enumerate(plan) if "HashAggregate(keys=[o_orderkey" in line) + 1], df.first()
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100, raising=False)
+    under, row = grouped_over()
+    assert "Exchange hashpartitioning(o_orderkey" in under and ", 15)" in under
+    assert (row["orders"], row["in_place"]) == (1500, True)
+    monkeypatch.setattr(runtime, "TASK_ROWS", 1, raising=False)
+    assert ", 200)" in grouped_over()[0]
+
+
 def test_batches(spark):
     held = spark.range(10).toArrow()
     assert batches.from_batches(spark, held.to_batches(max_chunksize=3), held.schema).count() == 10
