@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import dates, expressions, json_path, numbers, strings, udfs
 from tessera.functions.policy import PRESTO_STYLE, Policy
 from tessera.plans.registry import Block, Tables
-from tessera.runtime import ship, spread
+from tessera.runtime import deal_by_rows, ship
 
 BLOCK = Block()
 query = BLOCK.query
@@ -97,17 +97,28 @@ def json_get(t: Tables):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.none").alias("none"))
 
 
+def _json_texts(t: Tables):
+    """A JSON text ``j`` for each event, and one that is no JSON, ``cut``.  Tasks get even shares of the events: row groups of
+    a million make few splits of a scan, and most of the work is still to come."""
+    j = F.concat(F.lit('{"a": {"b": [1, "x", null]}, "n": '), (F.col("event_id") % 7).cast("string"), F.lit(', "s": "t"}'))
+    dealt = deal_by_rows(t.events.select("event_id"), t.events.count(), "event_id", at_least=t.spark.sparkContext.defaultParallelism)
+    return dealt.select("event_id", j.alias("j")).withColumn("cut", F.concat(F.lit("{"), "j"))
+
+
 @query("""
 WITH j AS (SELECT event_id, '{"a": {"b": [1, "x", null]}, "n": ' || CAST(event_id % 7 AS VARCHAR) || ', "s": "t"}' AS j FROM events)
 SELECT event_id, json_extract_string(j, '$.n') AS n, json_extract_string(j, '$.a.b[1]') AS x, CAST(NULL AS VARCHAR) AS object_, CAST(NULL AS VARCHAR) AS null_, 'none' AS default_, 'bad' AS error_ FROM j""")
 def json_value(t: Tables):
     """Scalars by path; objects, arrays and nulls count as empty, other text as an error."""
-    j = F.concat(F.lit('{"a": {"b": [1, "x", null]}, "n": '), (F.col("event_id") % 7).cast("string"), F.lit(', "s": "t"}'))
-    e = spread(t.spark, t.events.select("event_id")).select("event_id", j.alias("j")).withColumn("v", json_path.parse(F.col("j")))
-    c, v = F.col("j"), F.col("v")
+    e, at = json_path.look_up(_json_texts(t), "j", "$.n", '$["a"]["b"][1]', "$.a", "$.a.b[2]", "$.a.b[7]")
+    e, bad = json_path.look_up(e, "cut", "$.n")
+
+    def v(path):
+        return json_path.json_value(F.col("j"), path, at[path])
+
     return e.select(
-        "event_id", json_path.json_value(c, "$.n", v).alias("n"), json_path.json_value(c, '$["a"]["b"][1]', v).alias("x"), json_path.json_value(c, "$.a", v).alias("object_"), json_path.json_value(c, "$.a.b[2]", v).alias("null_"),
-        json_path.json_value_on(c, "$.a.b[7]", "DEFAULT", "NULL", "none", parsed=v).alias("default_"), json_path.json_value_on(F.concat(F.lit("{"), c), "$.n", "NULL", "DEFAULT", None, "bad").alias("error_"),
+        "event_id", v("$.n").alias("n"), v('$["a"]["b"][1]').alias("x"), v("$.a").alias("object_"), v("$.a.b[2]").alias("null_"),
+        json_path.json_value_on(F.col("j"), "$.a.b[7]", "DEFAULT", "NULL", "none", found=at["$.a.b[7]"]).alias("default_"), json_path.json_value_on(F.col("cut"), "$.n", "NULL", "DEFAULT", None, "bad", bad["$.n"]).alias("error_"),
     )
 
 
@@ -116,17 +127,16 @@ SELECT event_id, '{"b":[1,"x",null]}' AS object_, '[1,"x",null]' AS array_, CAST
   '[]' AS empty_, '{}' AS strict_, '[]' AS bad FROM events""")
 def json_query(t: Tables):
     """Objects and arrays by path, wrappers, and the lax and strict behaviours."""
-    j = F.concat(F.lit('{"a": {"b": [1, "x", null]}, "n": '), (F.col("event_id") % 7).cast("string"), F.lit(', "s": "t"}'))
-    c, v = F.col("j"), F.col("v")
+    e, at = json_path.look_up(_json_texts(t), "j", "$.a", "$.a.b", "$.s", "$.n", "$.none")
+    e, bad = json_path.look_up(e, "cut", "$.a")
 
-    def q(*arguments, **behaviours):
-        return json_path.json_query(c, *arguments, **behaviours, parsed=v)
+    def q(path, *arguments, **behaviours):
+        return json_path.json_query(F.col("j"), path, *arguments, **behaviours, found=at[path.removeprefix("strict ")])
 
-    e = spread(t.spark, t.events.select("event_id")).select("event_id", j.alias("j")).withColumn("v", json_path.parse(c))
     return e.select(
         "event_id", q("$.a").alias("object_"), q("$.a.b").alias("array_"), q("$.s").alias("scalar"), q("$.s", "CONDITIONAL").alias("wrapped"), q("$.n", "UNCONDITIONAL").alias("number"),
         q("$.a.b", "UNCONDITIONAL").alias("always"), q("$.a.b", "CONDITIONAL").alias("conditional"), q("$.none", on_empty="EMPTY ARRAY").alias("empty_"), q("strict $.none", on_error="EMPTY OBJECT").alias("strict_"),
-        json_path.json_query(F.concat(F.lit("{"), c), "$.a", on_error="EMPTY ARRAY").alias("bad"),
+        json_path.json_query(F.col("cut"), "$.a", on_error="EMPTY ARRAY", found=bad["$.a"]).alias("bad"),
     )
 
 

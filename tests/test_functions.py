@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,35 @@ def test_json_query_error(value):
         value(json_path.json_query(L("{"), "$.a", on_error="ERROR"))
 
 
+@pytest.mark.parametrize("name", ["json_query", "json_value"])
+def test_json_work_is_dealt_by_rows_and_compiled(spark, monkeypatch, name):
+    from tessera import runtime
+    from tessera.plans import catalogue
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100, raising=False)
+    df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == -(-sum(tasks) // 100) and max(tasks) < 200
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_json_look_up_gives_the_same(spark):
+    texts = [None, "", "{", "null", '{"a":null}', '{"a":{"b":[1,"x",null]}}', '{"a":[1.50]}', '{"a":"[1]"}', '{"a":"q\\"x"}', '{"a":1,"a":2}', '{"b":1} tail', '[{"a":1}]']
+    df, at = json_path.look_up(spark.createDataFrame([(t,) for t in texts], "j string"), "j", "$.a", '$["a"]["b"]')
+    cases = []
+    for path, found in at.items():
+        for w in ("WITHOUT", "CONDITIONAL", "UNCONDITIONAL"):
+            cases += [[json_path.json_query(F.col("j"), f"{mode} {path}", w, "EMPTY ARRAY", "EMPTY OBJECT", f) for f in (None, found)] for mode in ("lax", "strict")]
+        cases += [[json_path.json_value(F.col("j"), path, f) for f in (None, found)], [json_path.json_value_on(F.col("j"), path, "DEFAULT", "DEFAULT", "empty", "error", f) for f in (None, found)]]
+    for plain, shared in cases:
+        assert [r for r in df.select(plain.alias("p"), shared.alias("s")).collect() if r.p != r.s] == []
+
+
 def test_json_split(value):
     assert value(json_path.json_split(L('["a",1,{"b":2}]'))) == 'a\r\n1\r\n{"b":2}'
     assert value(json_path.json_split(L('{"a":1}'))) is None
